@@ -82,7 +82,7 @@ SELECT store_id, product_id, dt, sale_amount AS target_sale_amount,
        count(sale_amount) OVER w28 AS history_count_28,
        lag(stock_hour6_22_cnt, 1) OVER w AS stockout_lag_1,
        avg(stock_hour6_22_cnt) OVER w7 AS stockout_rolling_mean_7,
-       avg(sale_amount) OVER w7 - avg(sale_amount) OVER w28 AS sales_growth_7_vs_28,
+       avg(sale_amount) OVER w7 - avg(sale_amount) OVER w28 AS recent_growth_7_vs_28,
        discount, activity_flag, precpt, avg_temperature, avg_humidity, avg_wind_level, source_file
 FROM raw_rows
 WINDOW w AS (PARTITION BY store_id, product_id ORDER BY dt),
