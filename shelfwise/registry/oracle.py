@@ -124,6 +124,6 @@ def oracle(body: str, doubles: str = "", dates: str = "", recursive: str = "") -
     replaced = [f'{rounded(c)} AS {c}' for c in doubles.split()]
     replaced += [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()]
     star = "*" + (f" REPLACE ({', '.join(replaced)})" if replaced else "")
-    head = "WITH RECURSIVE " if recursive else "WITH "
+    head = "WITH RECURSIVE "
     prefix = head + ",\n".join(ctes) + "\n" if ctes else ""
     return f"{prefix}SELECT {star} FROM ({body}) AS result"
