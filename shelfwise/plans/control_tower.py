@@ -161,7 +161,7 @@ def bi_forecast_outlook(tower: DataFrame, forecast: DataFrame, run: DataFrame) -
         F.col("forecast_date") == F.col("forecast_target_date")
     ).join(r, "forecast_run_id").select(
         *SERIES_KEY, "as_of_date", "forecast_date", "predicted_demand", "model_id", "forecast_run_id",
-        "input_policy", *[x for x in CONTROL_TOWER[6:] if x not in (
+        "input_policy", *[x for x in CONTROL_TOWER[5:] if x not in (
             "reorder_required", "stockout_cost_per_unit", "on_time_delivery_rate", "priority_weight")],
         "minimum_order_quantity", "case_pack_size", "scenario_budget",
     )

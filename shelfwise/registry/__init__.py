@@ -54,6 +54,7 @@ def load_all() -> None:
         feature_queries,
         forecast_queries,
         kpi_queries,
+        model_queries,
         scalar_queries,
         source_queries,
     )

@@ -152,7 +152,7 @@ FROM (SELECT *, CASE WHEN upto <= b THEN v WHEN upto - v >= b THEN 0 ELSE b - (u
 _ELIGIBLE = ["priority_rank", "store_id", "product_id", "decision_date", "urgency_score", "urgency_band",
              "minimum_order_quantity", "case_pack_size", "supplier_unit_cost", "requested_quantity",
              "requested_order_value"]
-_listed("eligible_orders", "orders", _ELIGIBLE, lambda sc: al.ranked_orders(_scored(sc)))
+_listed("eligible_orders", "ranked_orders", _ELIGIBLE, lambda sc: al.ranked_orders(_scored(sc)))
 query("procurement_allocation", oracle(
     "SELECT * FROM allocation", floats(al.PROCUREMENT_ALLOCATION), "decision_date"))(
     lambda s, d: (lambda sc: al.procurement_allocation(_scored(sc), sc.budget))(chain.build_scenario(s, d)))
@@ -239,7 +239,7 @@ FROM fact f JOIN tower t ON f.store_id = t.store_id AND f.product_id = t.product
 WHERE f.dt <= t.decision_date""", "sale_amount", "dt"))(
     lambda s, d: (lambda p: ct.bi_demand_history(p[0].fact, p[1]))(chain.published(s, d)))
 
-_OUTLOOK = [c for c in ct.CONTROL_TOWER[6:] if c not in (
+_OUTLOOK = [c for c in ct.CONTROL_TOWER[5:] if c not in (
     "reorder_required", "stockout_cost_per_unit", "on_time_delivery_rate", "priority_weight")] + [
     "minimum_order_quantity", "case_pack_size"]
 _OUTLOOK_SQL = f"""
