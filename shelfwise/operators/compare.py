@@ -11,10 +11,19 @@ from shelfwise.functions.scalars import row_digest
 
 
 def bag_difference(a: DataFrame, b: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows (with their multiplicity) present on one side only, and which side."""
-    left, right = a.select(*keep), b.select(*keep)
-    return left.exceptAll(right).withColumn("side", F.lit("left_only")).unionByName(
-        right.exceptAll(left).withColumn("side", F.lit("right_only"))
+    """Symmetric multiset difference: each differing row with its side and surplus copies.
+
+    Both directions come from one aggregation of signed counts. Copies stay a
+    number, so a row repeated on a third of one side is still one record.
+    """
+    signed = a.select(*keep, F.lit(1).cast("bigint").alias("_sign")).unionByName(
+        b.select(*keep, F.lit(-1).cast("bigint").alias("_sign"))
+    )
+    net = signed.groupBy(*keep).agg(F.sum("_sign").alias("_net")).filter("_net <> 0")
+    return net.select(
+        *keep,
+        F.when(F.col("_net") > 0, "left_only").otherwise("right_only").alias("side"),
+        F.abs("_net").alias("copies"),
     )
 
 

@@ -87,16 +87,26 @@ def average_percent_rank(df: DataFrame, value: str, key: Sequence[str], name: st
     return df.join(ties, value, "left")
 
 
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Written counts of the distinct values of ``cols``, column ``n``.
+
+    Moments and percentiles of a column can then share one pass over the rows.
+    """
+    return written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "value_counts")
+
+
 def exact_percentiles(
-    df: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles, exact, without a per-group value buffer.
 
     Equal values collapse to a count first, so a value or group holding most of
     the rows costs one record. Positions are found with a global running total.
+    ``weight`` names a column of row counts when ``df`` is already counted.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("_n"))
     placed = globally_sorted(counts, [F.col(c) for c in [*by, value]], "percentile")
     run = with_running_total(placed, F.col("_n"), "_upto").withColumn("_before", F.col("_upto") - F.col("_n"))
     group = run.groupBy(*by).agg(F.sum("_n").alias("_size"), F.min("_before").alias("_start"))

@@ -16,7 +16,8 @@ from shelfwise.functions.scalars import (
     share,
     week_start,
 )
-from shelfwise.operators.ordered import exact_percentiles, with_grand_total
+from shelfwise.operators.ordered import exact_percentiles, value_counts, with_grand_total
+from shelfwise.sources.storage import written
 
 
 def count_rows() -> Column:
@@ -274,15 +275,18 @@ QUARTILES = {"p25": 0.25, "median": 0.50, "p75": 0.75, "p95": 0.95}
 
 
 def discount_distribution(rows: DataFrame) -> DataFrame:
-    """Moments in one pass over value counts, percentiles exact and distributed."""
-    basics = rows.agg(
-        count_rows().alias("observations"),
-        F.countDistinct("discount").alias("unique_discount_values"),
-        r4(F.min("discount")).alias("minimum_discount"),
-        r4(F.max("discount")).alias("maximum_discount"),
-        r4(F.avg("discount")).alias("average_discount"),
-    )
-    quantiles = exact_percentiles(rows, "discount", QUARTILES)
+    """Moments and exact percentiles from one table of value counts."""
+    counts = value_counts(rows, ["discount"])
+    n, v = F.col("n"), F.col("discount")
+    known = F.sum(F.when(v.isNotNull(), n))
+    basics = counts.agg(
+        F.sum(n).alias("observations"),
+        F.count(v).alias("unique_discount_values"),
+        r4(F.min(v)).alias("minimum_discount"),
+        r4(F.max(v)).alias("maximum_discount"),
+        r4(F.try_divide(F.sum(v * n), known)).alias("average_discount"),
+    )
+    quantiles = exact_percentiles(counts, "discount", QUARTILES, weight="n")
     return basics.crossJoin(
         F.broadcast(quantiles.select(*[r4(F.col(c)).alias(c) for c in QUARTILES]))
     )
@@ -332,7 +336,6 @@ def event_days_summary(rows: DataFrame) -> DataFrame:
 # --- product -----------------------------------------------------------------
 
 def product_metrics(rows: DataFrame) -> DataFrame:
-    """Per product; series are aggregated first so distinct stores is a plain count."""
     cv = F.try_divide(F.stddev_samp(sale()), F.avg(sale()))
     return rows.groupBy("product_id").agg(
         count_rows().alias("observations"),
@@ -390,9 +393,8 @@ def product_by_store(rows: DataFrame, product_id: int, k: int = 25) -> DataFrame
 
 
 def product_cv_distribution(rows: DataFrame) -> DataFrame:
-    products = rows.groupBy("product_id").agg(
-        F.try_divide(F.stddev_samp(sale()), F.avg(sale())).alias("cv")
-    )
+    cv = F.try_divide(F.stddev_samp(sale()), F.avg(sale()))
+    products = written(rows.groupBy("product_id").agg(cv.alias("cv")), "product_cv")
     means = products.agg(count_rows().alias("products"), r4(F.avg("cv")).alias("average_product_cv"))
     spread = exact_percentiles(products, "cv", {"median_product_cv": 0.50, "p95_product_cv": 0.95})
     return means.crossJoin(F.broadcast(

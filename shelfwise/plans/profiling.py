@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import right_closed_band, round_half_up, share
-from shelfwise.operators.ordered import exact_percentiles
+from shelfwise.operators.ordered import exact_percentiles, value_counts
 
 # Counting hours of the day, [6, 22), as a 1-based slice.
 OPEN_FROM, OPEN_HOURS = 7, 16
@@ -68,18 +68,27 @@ def date_profile(rows: DataFrame, column: str) -> DataFrame:
 
 
 def describe_sales(rows: DataFrame, column: str = "sale_amount") -> DataFrame:
-    v = F.col(column)
-    basics = rows.agg(
-        F.count(v).alias("count"),
-        (share(v == 0) * 100).alias("zero_percentage"),
-        F.count_if(v < 0).alias("negative_rows"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
+    """Moments and quartiles from one table of value counts.
+
+    The deviation takes a second look at the counts around the known mean.
+    """
+    counts = value_counts(rows, [column])
+    v, n = F.col(column), F.col("n")
+    known = F.sum(F.when(v.isNotNull(), n))
+    basics = counts.agg(
+        known.alias("count"),
+        (F.sum(F.when(v == 0, n).otherwise(0)).cast("double") / F.sum(n) * 100).alias("zero_percentage"),
+        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("negative_rows"),
+        F.try_divide(F.sum(v * n), known).alias("mean"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    quartiles = exact_percentiles(rows, column, {"p25": 0.25, "p50": 0.50, "p75": 0.75})
-    return basics.crossJoin(F.broadcast(quartiles))
+    off = v - F.col("mean")
+    spread = counts.crossJoin(F.broadcast(basics.select("mean", "count"))).agg(
+        F.sqrt(F.try_divide(F.sum(off * off * n), F.max("count") - 1)).alias("std")
+    )
+    quartiles = exact_percentiles(counts, column, {"p25": 0.25, "p50": 0.50, "p75": 0.75}, weight="n")
+    return basics.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(quartiles))
 
 
 def hourly_total() -> Column:
@@ -163,16 +172,19 @@ def severity_band() -> Column:
 
 
 def stockout_sales_profile(rows: DataFrame) -> DataFrame:
-    """Sales by stockout severity, with an exact median per band."""
-    banded = rows.select(severity_band().alias("stockout_band"), "sale_amount", "stock_hour6_22_cnt") \
-        .filter("stockout_band IS NOT NULL")
+    """Sales by stockout severity with an exact median, from one table of value counts."""
+    counts = value_counts(rows.select("stock_hour6_22_cnt", "sale_amount"), ["stock_hour6_22_cnt", "sale_amount"])
+    banded = counts.withColumn("stockout_band", severity_band()).filter("stockout_band IS NOT NULL")
+    n, y = F.col("n"), F.col("sale_amount")
+    size = F.sum(n)
     basics = banded.groupBy("stockout_band").agg(
-        F.count(F.lit(1)).alias("rows"),
-        round_half_up(F.avg("sale_amount"), 3).alias("average_sales"),
-        round_half_up(share(F.col("sale_amount") == 0) * 100, 3).alias("zero_sales_rate"),
-        round_half_up(F.avg("stock_hour6_22_cnt"), 3).alias("average_stockout_hours"),
+        size.alias("rows"),
+        round_half_up(F.try_divide(F.sum(y * n), F.sum(F.when(y.isNotNull(), n))), 3).alias("average_sales"),
+        round_half_up(F.sum(F.when(y == 0, n).otherwise(0)).cast("double") / size * 100, 3).alias("zero_sales_rate"),
+        round_half_up(F.sum(F.col("stock_hour6_22_cnt") * n).cast("double") / size, 3)
+        .alias("average_stockout_hours"),
     )
-    medians = exact_percentiles(banded, "sale_amount", {"median": 0.5}, by=["stockout_band"])
+    medians = exact_percentiles(banded, "sale_amount", {"median": 0.5}, by=["stockout_band"], weight="n")
     return basics.join(
         medians.select("stockout_band", round_half_up(F.col("median"), 3).alias("median_sales")),
         "stockout_band",

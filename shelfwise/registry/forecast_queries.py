@@ -73,7 +73,8 @@ query("kpi_accuracy", oracle(
 
 
 def _accuracy(s, d):
+    """Daily metrics and the overall ones from one pass (rollup)."""
     rows = e.rolling_evaluation(_v2(s, d))
     m = [F.count(F.lit(1)).alias("rows"), *e.metrics(F.col("actual"), F.col("prediction"))]
-    daily = rows.groupBy(F.col("dt").cast("string").alias("dt")).agg(*m)
-    return daily.unionByName(rows.agg(*m).select(F.lit("all").alias("dt"), "rows", "mae", "rmse", "wape"))
+    return rows.rollup(F.col("dt").cast("string").alias("day")).agg(*m).select(
+        F.coalesce("day", F.lit("all")).alias("dt"), "rows", "mae", "rmse", "wape")

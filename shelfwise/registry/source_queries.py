@@ -111,11 +111,12 @@ FROM raw_rows GROUP BY source_file"""))(_changed_source)
 
 _BAG = ["l_partkey", "l_suppkey", "l_linenumber"]
 query("reconcile_bag_diff", oracle(f"""
+SELECT side, {', '.join(_BAG)}, count(*) AS copies FROM (
 (SELECT 'left_only' AS side, * FROM (SELECT {', '.join(_BAG)} FROM lineitem WHERE l_returnflag = 'R'
    EXCEPT ALL SELECT {', '.join(_BAG)} FROM lineitem WHERE l_linestatus = 'O'))
 UNION ALL
 (SELECT 'right_only' AS side, * FROM (SELECT {', '.join(_BAG)} FROM lineitem WHERE l_linestatus = 'O'
-   EXCEPT ALL SELECT {', '.join(_BAG)} FROM lineitem WHERE l_returnflag = 'R'))"""))(
+   EXCEPT ALL SELECT {', '.join(_BAG)} FROM lineitem WHERE l_returnflag = 'R'))) GROUP BY ALL"""))(
     lambda s, d: (lambda x: compare.bag_difference(x.filter("l_returnflag = 'R'"), x.filter("l_linestatus = 'O'"), _BAG))(
         s.read.parquet(f"{d}/lineitem.parquet")))
 
@@ -131,7 +132,7 @@ def _raw_matches_source(s, d):
         part = s.read.schema(schemas.SOURCE_RETAIL_DAILY).parquet(path)
         source = part if source is None else source.unionByName(part)
     diff = compare.bag_difference(t.read_raw(s, raw_path), source, keep)
-    return diff.agg(F.count(F.lit(1)).alias("different_rows"))
+    return diff.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("different_rows"))
 
 
 query("raw_source_adoption", oracle("SELECT count(*) AS different_rows FROM raw_rows WHERE FALSE"))(_raw_matches_source)

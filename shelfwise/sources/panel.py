@@ -30,7 +30,7 @@ def _cells(lineitem: DataFrame, hourly: bool) -> DataFrame:
         ).alias("day_idx"),
         (F.col("l_orderkey") % HOURS).alias("hour"),
         "l_quantity",
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("discount_points"),
+        F.floor(F.col("l_discount") * 100 + 0.5).alias("discount_points"),
     )
     sums = [
         (F.sum("l_quantity") / 16).alias("sale_amount"),
