@@ -27,6 +27,11 @@ def bag_difference(a: DataFrame, b: DataFrame, keep: Sequence[str]) -> DataFrame
     )
 
 
+def bag_minus(a: DataFrame, b: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows of ``a`` left after taking out ``b`` copy by copy, with how many remain."""
+    return bag_difference(a, b, keep).filter("side = 'left_only'").drop("side")
+
+
 def population_compare(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct keys counted as left_only / right_only / both."""
     tagged = a.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(

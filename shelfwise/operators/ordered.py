@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.skew import join_counted
 from shelfwise.sources.storage import written
 
 PART, POS = "_part", "_pos"
@@ -79,12 +80,13 @@ def average_percent_rank(df: DataFrame, value: str, key: Sequence[str], name: st
     present values.
     """
     present = df.filter(F.col(value).isNotNull())
-    ranked = global_rank(present, [F.col(value), *[F.col(k) for k in key]], "_rank")
+    ranked = global_rank(present.select(value, *key), [F.col(value), *[F.col(k) for k in key]], "_rank")
     n = ranked.count()
     ties = ranked.groupBy(value).agg(
-        ((F.min("_rank") + F.max("_rank")) / 2 / F.lit(float(max(n, 1)))).alias(name)
+        ((F.min("_rank") + F.max("_rank")) / 2 / F.lit(float(max(n, 1)))).alias(name),
+        F.count(F.lit(1)).alias("_ties"),
     )
-    return df.join(ties, value, "left")
+    return join_counted(df, written(ties, "ties"), value, "_ties", n)
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,0 +1,26 @@
+"""Joining rows to a lookup when a few key values hold most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` to ``lookup`` (one record per key) on ``key``.
+
+    ``lookup`` carries in ``count`` how many of the ``total`` rows have the
+    key. Keys above a thousandth of the rows number under a thousand, so they
+    are broadcast and their rows never move; the other keys are joined by
+    shuffle, where no key is large. Rows with a NULL key keep NULLs.
+    """
+    heavy = F.col(count) * HOT_SHARE > total
+    attributes = [c for c in lookup.columns if c not in (key, count)]
+    hot = lookup.filter(heavy).select(key, *attributes, F.lit(True).alias("_hot"))
+    cold = lookup.filter(~heavy).select(key, *attributes)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    done = marked.filter(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    rest = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *attributes)
+    return done.unionByName(rest.join(cold, key, "left").select(done.columns))

@@ -120,6 +120,15 @@ def features_v3(stage: DataFrame) -> DataFrame:
     return _deep(stage).select(*_V2_COLUMNS, *COMMERCIAL, *WEATHER)
 
 
+def with_exogenous(v2: DataFrame, fact: DataFrame) -> DataFrame:
+    """Commercial and weather columns joined back from a fact on its daily key.
+
+    For feature tables kept without them; :func:`features_v3` carries the
+    columns along and needs no join.
+    """
+    return v2.join(fact.select(*DAILY_KEY, *COMMERCIAL, *WEATHER), DAILY_KEY)
+
+
 def model_ready_v1(v1: DataFrame, source: str) -> DataFrame:
     return v1.filter(F.col("source_file") == source).dropna(subset=V1_HISTORY)
 

@@ -273,11 +273,27 @@ SELECT CASE WHEN precpt = 0 THEN 'No precipitation' WHEN precpt <= 2 THEN 'Low'
 FROM train GROUP BY 1"""))(
     lambda s, d: a.precipitation_bands(inputs.train(s, d)))
 
-query("mean_percent_rank", oracle("""
-SELECT store_id, product_id, mean_daily_sales,
-       (min(rn) OVER p + max(rn) OVER p) / 2e0 / count(*) OVER () AS volume_rank
-FROM (SELECT *, row_number() OVER (ORDER BY mean_daily_sales, store_id, product_id) AS rn FROM """ + SERIES + """)
-WINDOW p AS (PARTITION BY mean_daily_sales)""", "mean_daily_sales volume_rank"))(
-    lambda s, d: ordered.average_percent_rank(
-        written(a.series_metrics(inputs.train(s, d)).select("store_id", "product_id", "mean_daily_sales"), "series"),
-        "mean_daily_sales", ["store_id", "product_id"], "volume_rank"))
+KEY = ["store_id", "product_id"]
+
+
+def _percent_ranks(s, d):
+    """Volume and variability rank of every series, ties averaged."""
+    series = a.series_metrics(inputs.train(s, d)).select(
+        *KEY, "mean_daily_sales",
+        a.round_half_up(a.coefficient_of_variation(
+            a.F.col("mean_daily_sales"), a.F.col("std_daily_sales")), 6).alias("cv"))
+    series = written(series, "series")
+    ranked = ordered.average_percent_rank(series, "mean_daily_sales", KEY, "volume_rank")
+    return ordered.average_percent_rank(written(ranked, "volume_ranked"), "cv", KEY, "variability_rank")
+
+
+query("pct_rank_avg", oracle(f"""
+SELECT store_id, product_id, mean_daily_sales, cv,
+       (min(rv) OVER v + max(rv) OVER v) / 2e0 / count(*) OVER () AS volume_rank,
+       (min(rc) OVER c + max(rc) OVER c) / 2e0 / count(cv) OVER () AS variability_rank
+FROM (SELECT *, row_number() OVER (ORDER BY mean_daily_sales, store_id, product_id) AS rv,
+             CASE WHEN cv IS NOT NULL THEN row_number() OVER (ORDER BY cv NULLS LAST, store_id, product_id) END AS rc
+      FROM (SELECT *, CASE WHEN mean_daily_sales > 0 THEN {rounded('std_daily_sales / mean_daily_sales')} END AS cv
+            FROM {SERIES}))
+WINDOW v AS (PARTITION BY mean_daily_sales), c AS (PARTITION BY cv)""",
+    "mean_daily_sales cv volume_rank variability_rank"))(_percent_ranks)

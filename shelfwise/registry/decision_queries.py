@@ -157,6 +157,12 @@ query("procurement_allocation", oracle(
     "SELECT * FROM allocation", floats(al.PROCUREMENT_ALLOCATION), "decision_date"))(
     lambda s, d: (lambda sc: al.procurement_allocation(_scored(sc), sc.budget))(chain.build_scenario(s, d)))
 
+query("rank_step_join", oracle("""
+SELECT priority_rank, w.left_before / 100e0 AS budget_before_order, w.left_after / 100e0 AS budget_after_order
+FROM walked w""", "budget_before_order budget_after_order"))(
+    lambda s, d: (lambda sc: al.procurement_allocation(_scored(sc), sc.budget))(chain.build_scenario(s, d))
+    .select("priority_rank", "budget_before_order", "budget_after_order"))
+
 _BUDGETS = {"0": 0.0, "100": 100.0, "5000": 5000.0, "default": None}
 for _name, _b in _BUDGETS.items():
     TABLES[f"walked_{_name}"] = walk(f"walked_{_name}", str(int(_b * 100)) if _b is not None

@@ -73,6 +73,8 @@ query("features_v2", oracle(f"SELECT {V2_COLS} FROM features", FLOATS_V2, "dt"))
     lambda s, d: f.features_v2(inputs.staging(s, d)))
 query("features_v3", oracle(f"SELECT {V3_COLS} FROM features", FLOATS_V3, "dt"))(
     lambda s, d: f.features_v3(inputs.staging(s, d)))
+query("three_key_join", oracle(f"SELECT {V3_COLS} FROM features", FLOATS_V3, "dt"))(
+    lambda s, d: f.with_exogenous(f.features_v2(inputs.staging(s, d)), inputs.fact(s, d)))
 for _src in ("train", "eval"):
     query(f"features_v1_{_src}", oracle(
         f"SELECT {V1_COLS} FROM features WHERE {V1_READY} AND source_file = '{_src}.parquet'", FLOATS_V1, "dt"))(

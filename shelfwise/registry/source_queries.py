@@ -121,6 +121,14 @@ UNION ALL
         s.read.parquet(f"{d}/lineitem.parquet")))
 
 
+query("except_all", oracle(f"""
+SELECT {', '.join(_BAG)}, count(*) AS copies FROM (
+  SELECT {', '.join(_BAG)} FROM lineitem WHERE l_quantity > 20
+  EXCEPT ALL SELECT {', '.join(_BAG)} FROM lineitem WHERE l_discount > 0.05) GROUP BY ALL"""))(
+    lambda s, d: (lambda x: compare.bag_minus(x.filter("l_quantity > 20"), x.filter("l_discount > 0.05"), _BAG))(
+        s.read.parquet(f"{d}/lineitem.parquet")))
+
+
 def _raw_matches_source(s, d):
     files = _source_files(s, d)
     raw_path = new_path(s, "raw")
@@ -254,6 +262,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts
 GROUP BY 1, 2"""))(
     lambda s, d: t.latest_state(_events(s, d), ["user_id", "event_type"], ["ts", "event_id"], ["props"])
     .select("user_id", "event_type", "event_id", "props"))
+query("latest_per_key", oracle("""
+SELECT event_type, event_id, user_id, value
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+WHERE n = 1""", "value"))(
+    lambda s, d: t.latest_state(_events(s, d), ["event_type"], ["ts", "event_id"], ["user_id", "value"])
+    .select("event_type", "event_id", "user_id", "value"))
 query("latest_success_run", oracle("""
 SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, json_extract_string(props, '$.k') AS k
 FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 1"""))(
