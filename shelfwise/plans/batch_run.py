@@ -166,9 +166,8 @@ def publish(run: Run, layers: dict[str, DataFrame], forecast: DataFrame, details
     joined = decisions.scenario_join(
         parts["inventory"], parts["supplier"], parts["priority"], scenario.series_profiles(train), forecast)
     rows = run.table("recommended", decisions.order_recommendation(decisions.inventory_decision(joined)))
-    scored = run.table("scored", decisions.priority_scored_order(rows, s.weights))
-    funded = run.table("allocation", allocation.procurement_allocation(scored, s.budget))
-    tower = control_tower.with_lineage(control_tower.control_tower(rows, scored, funded), forecast)
+    decided = decisions.with_urgency(rows, s.weights)
+    funded = run.table("allocation", allocation.procurement_allocation(decided, s.budget))
 
     def checks(stored: dict[str, DataFrame]) -> DataFrame:
         mart = stored["control_tower"]
@@ -181,9 +180,9 @@ def publish(run: Run, layers: dict[str, DataFrame], forecast: DataFrame, details
     tables.publish(run.spark, f"{run.base}/marts", run.run_id, {
         "inventory_decision": rows.select(*decisions.INVENTORY_DECISION),
         "order_recommendation": rows.select(*decisions.ORDER_RECOMMENDATION),
-        "priority_scored_order": scored.select(*decisions.PRIORITY_SCORED),
+        "priority_scored_order": decided.filter("reorder_required").select(*decisions.PRIORITY_SCORED),
         "procurement_allocation": funded,
-        "control_tower": tower,
+        "control_tower": control_tower.control_tower(decided, funded),
     }, checks)
 
 

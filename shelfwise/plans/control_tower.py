@@ -35,13 +35,18 @@ CONSTRAINT_ACTION = "Review MOQ, capacity, capital or shelf-life constraint"
 
 
 def enrich(recommended: DataFrame, scored: DataFrame, allocation: DataFrame) -> DataFrame:
-    """Optional score and allocation per decision, missing amounts as 0."""
+    """Optional score and allocation per decision, for scores kept in their own table."""
     score = scored.select(*DECISION_KEY, "urgency_score", "urgency_band")
+    return with_allocation(recommended.join(score, DECISION_KEY, "left"), allocation)
+
+
+def with_allocation(decided: DataFrame, allocation: DataFrame) -> DataFrame:
+    """Optional allocation per decision, missing amounts as 0."""
     funds = allocation.select(
         *DECISION_KEY, "allocated_quantity", "allocated_order_value",
         F.col("funding_status").alias("_funding"),
     )
-    rows = recommended.join(score, DECISION_KEY, "left").join(funds, DECISION_KEY, "left")
+    rows = decided.join(funds, DECISION_KEY, "left")
     funding = (
         F.when(~F.col("reorder_required"), "NOT REQUIRED")
         .when(F.col("_funding").isNotNull(), F.col("_funding"))
@@ -80,8 +85,9 @@ def action_column() -> Column:
     return action
 
 
-def control_tower(recommended: DataFrame, scored: DataFrame, allocation: DataFrame) -> DataFrame:
-    rows = enrich(recommended, scored, allocation).withColumn("control_tower_status", status_column())
+def control_tower(decided: DataFrame, allocation: DataFrame) -> DataFrame:
+    """Mart rows from scored decisions: the allocation is the only join."""
+    rows = with_allocation(decided, allocation).withColumn("control_tower_status", status_column())
     return rows.withColumn("recommended_action", action_column())
 
 
@@ -91,15 +97,6 @@ def reclassify(tower: DataFrame) -> DataFrame:
     return rows.withColumn("recommended_action", action_column())
 
 
-def with_lineage(tower: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Forecast run, model and target date of every decision."""
-    lineage = forecast.select(
-        *SERIES_KEY, F.col("run_id").alias("forecast_run_id"), "model_id",
-        F.col("target_date").alias("forecast_target_date"),
-    )
-    return tower.join(lineage, SERIES_KEY)
-
-
 def lineage_gate(tower: DataFrame, forecast: DataFrame) -> DataFrame:
     """Decisions whose demand is the floored prediction of their own forecast row."""
     f = forecast.select(

@@ -49,12 +49,20 @@ PRIORITY_SCORED = [
 def scenario_join(
     inventory: DataFrame, supplier: DataFrame, priority: DataFrame, profiles: DataFrame, forecast: DataFrame
 ) -> DataFrame:
-    """Inner joins on the series key; only active suppliers."""
+    """Inner joins on the series key; only active suppliers.
+
+    Run, model and target date of the forecast travel with the row, so the
+    mart's lineage needs no later join.
+    """
+    predicted = forecast.select(
+        *SERIES_KEY, "prediction", "model_id", F.col("run_id").alias("forecast_run_id"),
+        F.col("target_date").alias("forecast_target_date"),
+    )
     return (
         inventory.join(supplier.filter("active_flag").drop("active_flag"), SERIES_KEY)
         .join(priority, SERIES_KEY)
         .join(profiles.select(*SERIES_KEY, "demand_std"), SERIES_KEY)
-        .join(forecast.select(*SERIES_KEY, "prediction"), SERIES_KEY)
+        .join(predicted, SERIES_KEY)
     )
 
 
@@ -158,16 +166,24 @@ def urgency_band(score: Column) -> Column:
     return band.otherwise(LOWEST_BAND)
 
 
-def with_maxima(reorders: DataFrame) -> DataFrame:
+def with_maxima(recommended: DataFrame) -> DataFrame:
     """The five normalising maxima over all reorders, from one one-row aggregate."""
-    return with_grand_total(reorders, {f"max_{n}": F.max(c) for n, c in _NORMALISED.items()})
+    reorder = F.col("reorder_required")
+    return with_grand_total(
+        recommended, {f"max_{n}": F.max(F.when(reorder, F.col(c))) for n, c in _NORMALISED.items()}
+    )
 
 
-def priority_scored_order(recommended: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """Urgency of every reorder: six normalised components, weighted, times 100."""
+def with_urgency(recommended: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """Urgency of every reorder: six normalised components, weighted, times 100.
+
+    Rows that need no reorder keep a NULL score and band. ``recommended``
+    should be a written table: it is read for the maxima and for the rows.
+    """
     if abs(sum(weights.values()) - 1) > 1e-9 or min(weights.values()) < 0:
         raise ValueError("weights must be non-negative and sum to 1")
-    scored = with_maxima(recommended.filter("reorder_required"))
+    scored = with_maxima(recommended)
+    reorder = F.col("reorder_required")
 
     def part(name: str) -> Column:
         if name == "supplier":
@@ -178,7 +194,12 @@ def priority_scored_order(recommended: DataFrame, weights: Mapping[str, float] =
     for name in ("coverage", "stockout", "demand", "unmet", "supplier", "priority"):
         term = F.lit(float(weights[name])) * part(name)
         total = term if total is None else total + term
-    scored = scored.withColumn("urgency_score", total * 100.0)
-    return scored.withColumn("urgency_band", urgency_band(F.col("urgency_score"))).drop(
+    scored = scored.withColumn("urgency_score", F.when(reorder, total * 100.0))
+    return scored.withColumn("urgency_band", F.when(reorder, urgency_band(F.col("urgency_score")))).drop(
         *[f"max_{n}" for n in _NORMALISED]
     )
+
+
+def priority_scored_order(recommended: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """The scored reorders."""
+    return with_urgency(recommended, weights).filter("reorder_required")

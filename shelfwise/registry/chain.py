@@ -60,16 +60,15 @@ def decided(sc: Scenario) -> DataFrame:
 
 
 def recommended(sc: Scenario) -> DataFrame:
-    """Written once: the maxima, the scoring, the ranking and the mart read it."""
+    """Written once: the maxima, the ranking and the mart read it."""
     return written(decisions.order_recommendation(decided(sc)), "recommended")
 
 
 def tower(sc: Scenario, budget: float | None = None) -> DataFrame:
     """Control tower rows with lineage and the procurement columns the gates read."""
-    rows = recommended(sc)
-    scored = decisions.priority_scored_order(rows)
-    funded = allocation.procurement_allocation(scored, sc.budget if budget is None else budget)
-    return control_tower.with_lineage(control_tower.control_tower(rows, scored, funded), sc.forecast)
+    rows = decisions.with_urgency(recommended(sc))
+    funded = allocation.procurement_allocation(rows, sc.budget if budget is None else budget)
+    return control_tower.control_tower(rows, funded)
 
 
 _PUBLISHED: dict[tuple[str, str], tuple[Scenario, DataFrame]] = {}

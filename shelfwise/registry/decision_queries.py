@@ -112,7 +112,7 @@ _MAXIMA = list(dn._NORMALISED.values())
 query("max_over_all", oracle(
     "SELECT store_id, product_id, " + ", ".join(f"max({c}) OVER () AS max_{n}" for n, c in dn._NORMALISED.items())
     + " FROM recommendation WHERE reorder_required", " ".join(f"max_{n}" for n in dn._NORMALISED)))(
-    lambda s, d: dn.with_maxima(chain.recommended(chain.build_scenario(s, d)).filter("reorder_required"))
+    lambda s, d: dn.with_maxima(chain.recommended(chain.build_scenario(s, d))).filter("reorder_required")
     .select(*SERIES_KEY, *[f"max_{n}" for n in dn._NORMALISED]))
 query("global_rank", oracle("""
 SELECT store_id, product_id, urgency_score,
