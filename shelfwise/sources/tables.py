@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,7 +161,7 @@ def publish(
         df.write.mode("errorifexists").parquet(path)
         stored[name] = spark.read.schema(df.schema).parquet(path)
     gates.require(checks(stored))
-    row = spark.createDataFrame([(run_id, datetime.now())], _POINTER)
+    row = spark.createDataFrame([(run_id, datetime.now(timezone.utc))], _POINTER)
     row.write.mode("append").parquet(f"{base}/_published")
 
 

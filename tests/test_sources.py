@@ -65,5 +65,16 @@ def test_rebuild_replaces_and_insert_only_adds(spark):
     assert [r["id"] for r in added.collect()] == [7]
 
 
+def test_discard_removes_only_this_application(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda s: str(tmp_path))
+    mine = storage.written(spark.range(3), "x")
+    other = f"{tmp_path}/tables/another/x"
+    spark.range(2).write.parquet(other)
+    assert mine.count() == 3
+    storage.discard(spark)
+    assert not tables.path_exists(spark, f"{tmp_path}/tables/{spark.sparkContext.applicationId}")
+    assert spark.read.parquet(other).count() == 2
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
