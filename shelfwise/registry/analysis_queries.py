@@ -168,7 +168,7 @@ SELECT period, observations, sort_key FROM (
 
 for _flag in ("activity", "holiday"):
     query(f"{_flag}_effect", oracle(f"""
-SELECT CAST({_flag}_flag AS INTEGER) AS {_flag}_flag, count(*) AS observations, {r4("avg(sale_amount)")} AS average_sales,
+SELECT {_flag}_flag, count(*) AS observations, {r4("avg(sale_amount)")} AS average_sales,
        {r4("stddev_samp(sale_amount)")} AS sales_std, {r4("avg(stockout_hours)")} AS average_stockout_hours
 FROM train GROUP BY 1"""))(
         lambda s, d, flag=_flag: a.flag_effect(inputs.train(s, d), f"{flag}_flag"))

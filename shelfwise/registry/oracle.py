@@ -35,8 +35,8 @@ CROSS JOIN (SELECT range AS day_idx FROM range(97)) d
 LEFT JOIN cells c ON c.store_id = s.store_id AND c.product_id = s.product_id AND c.day_idx = d.day_idx"""
 
 TABLES["fact"] = """
-SELECT store_id, product_id, dt, sale_amount, stock_hour6_22_cnt AS stockout_hours, discount,
-       holiday_flag, activity_flag, precpt, avg_temperature, avg_humidity, avg_wind_level, source_file
+SELECT store_id, product_id, dt, sale_amount, CAST(stock_hour6_22_cnt AS SMALLINT) AS stockout_hours, discount,
+       CAST(holiday_flag AS SMALLINT) AS holiday_flag, CAST(activity_flag AS SMALLINT) AS activity_flag, precpt, avg_temperature, avg_humidity, avg_wind_level, source_file
 FROM raw_rows"""
 TABLES["train"] = "SELECT * FROM fact WHERE source_file = 'train.parquet'"
 
@@ -68,7 +68,8 @@ TABLES["bridge"] = "SELECT DISTINCT store_id, management_group_id FROM raw_rows"
 TABLES["features"] = """
 SELECT store_id, product_id, dt, sale_amount AS target_sale_amount,
        first_category_id, second_category_id, third_category_id,
-       CAST(isodow(dt) AS INTEGER) AS day_of_week, isodow(dt) >= 6 AS is_weekend, holiday_flag,
+       CAST(isodow(dt) AS INTEGER) AS day_of_week, isodow(dt) >= 6 AS is_weekend,
+       CAST(holiday_flag AS SMALLINT) AS holiday_flag,
        lag(sale_amount, 1) OVER w AS sales_lag_1, lag(sale_amount, 2) OVER w AS sales_lag_2,
        lag(sale_amount, 3) OVER w AS sales_lag_3, lag(sale_amount, 7) OVER w AS sales_lag_7,
        lag(sale_amount, 14) OVER w AS sales_lag_14,
@@ -80,10 +81,11 @@ SELECT store_id, product_id, dt, sale_amount AS target_sale_amount,
        max(sale_amount) OVER w7 AS sales_rolling_max_7, max(sale_amount) OVER w14 AS sales_rolling_max_14,
        max(sale_amount) OVER w28 AS sales_rolling_max_28,
        count(sale_amount) OVER w28 AS history_count_28,
-       lag(stock_hour6_22_cnt, 1) OVER w AS stockout_lag_1,
+       lag(CAST(stock_hour6_22_cnt AS SMALLINT), 1) OVER w AS stockout_lag_1,
        avg(stock_hour6_22_cnt) OVER w7 AS stockout_rolling_mean_7,
        avg(sale_amount) OVER w7 - avg(sale_amount) OVER w28 AS recent_growth_7_vs_28,
-       discount, activity_flag, precpt, avg_temperature, avg_humidity, avg_wind_level, source_file
+       discount, CAST(activity_flag AS SMALLINT) AS activity_flag, precpt, avg_temperature, avg_humidity,
+       avg_wind_level, source_file
 FROM raw_rows
 WINDOW w AS (PARTITION BY store_id, product_id ORDER BY dt),
        w7 AS (PARTITION BY store_id, product_id ORDER BY dt ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
