@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import minhash
+from shelfwise.llm import decontamination, minhash, mixing, sharding
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
-# Lower-cases A-Z only.
+# Lower-cases A-Z only; what counts as a word inside text that is cut at punctuation.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -29,3 +31,65 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.
 FROM documents d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class")
+
+
+@query(sql=f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+i AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark) WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(ws[s:s + k - 1], ' ') AS gram
+      FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM i)),
+e AS (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS gram
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s
+            FROM d JOIN (SELECT DISTINCT k FROM i) ON len(ws) >= k)),
+m AS (SELECT doc_id, item_id, k, s FROM e JOIN g USING (k, gram)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id", sharding.document_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("text_id"))
+    dealt = sharding.contiguous_shards(rows, 40, F.col("size"), [F.col("doc_id").asc_nulls_first(), F.col("text_id")])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(sql="""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source
+), c AS (
+  SELECT *, sum(3 * source_size) OVER o AS caps, sum(w) OVER o AS ws, sum(source_size) OVER () AS total, sum(w) OVER () AS weights
+  FROM s WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)
+), k AS (SELECT *, caps * w + 3 * source_size * (weights - ws) <= total * w AS stops FROM c),
+l AS (SELECT (max(total) - coalesce(sum(3 * source_size) FILTER (stops), 0))::DOUBLE
+        / nullif((max(weights) - coalesce(sum(w) FILTER (stops), 0))::DOUBLE, 0) AS lv FROM k),
+t AS (SELECT source, source_size,
+        CASE WHEN stops THEN (3 * source_size)::DOUBLE ELSE least((3 * source_size)::DOUBLE, coalesce(lv, 0.0) * w) END AS target
+      FROM k, l),
+r AS (SELECT d.*, source_size, target, coalesce(target / nullif(source_size::DOUBLE, 0), 0.0) AS rate
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
