@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, minhash, mixing, sharding
+from shelfwise.llm import decontamination, languages, licenses, minhash, mixing, sharding, spotsigs
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -93,3 +93,33 @@ SELECT doc_id, size, source_size, target,
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda x: x["phrase"])
+    names = lambda xs: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["label"]))))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["first"])).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["similarity"])), F.lit(0.0)).alias("score"))
+
+
+@query()
+def op5_spotsigs_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _fold(parts: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = languages.fit(docs, _fold(3) != 1)
+    predicted = languages.predict(docs.select("doc_id", (_fold(3) == 1).alias("held_out"), "text"), network)
+    return predicted.drop("text")
