@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, languages, licenses, minhash, mixing, sharding, spotsigs
+from shelfwise.llm import decontamination, languages, licenses, minhash, mixing, sharding, spotsigs, toxicity
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -123,3 +123,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = languages.fit(docs, _fold(3) != 1)
     predicted = languages.predict(docs.select("doc_id", (_fold(3) == 1).alias("held_out"), "text"), network)
     return predicted.drop("text")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    scored = toxicity.score(docs.select("doc_id", (_fold(5) == 0).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("spans").cast("long").alias("n_spans"))
