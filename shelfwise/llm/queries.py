@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, languages, licenses, minhash, mixing, sharding, spotsigs, toxicity
+from shelfwise.llm import decontamination, language_model, languages, licenses, minhash, mixing, sharding, spotsigs, toxicity
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -132,3 +132,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs.select("doc_id", (_fold(5) == 0).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          F.size("spans").cast("long").alias("n_spans"))
+
+
+@query()
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (_fold(7) == 2).alias("held_out"), "text")
+    return language_model.score_documents(docs, ~F.col("held_out"))
