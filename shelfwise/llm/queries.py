@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, language_model, languages, licenses, minhash, mixing, sharding, spotsigs, toxicity
+from shelfwise.llm import decontamination, language_model, languages, licenses, minhash, mixing, repeats, sharding, spotsigs, toxicity
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -138,3 +138,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (_fold(7) == 2).alias("held_out"), "text")
     return language_model.score_documents(docs, ~F.col("held_out"))
+
+
+@query()
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")

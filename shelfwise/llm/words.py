@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACES = b" \t\n\x0b\x0c\r"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,7 +24,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
@@ -44,7 +44,8 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(salt))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base, or more, and of its inverse."""
     global _powers
     if len(_powers[0]) < n:
         size = max(n, BLOCK_BYTES)
@@ -106,8 +107,8 @@ class Words:
         """One hash per word, of its lower-cased bytes."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        up, down = _powers_to(len(self.data))
-        term = _BYTE[self.data]
+        up, down = powers(len(self.data))
+        term = BYTE[self.data]
         term *= up[:len(term)]
         total = np.cumsum(term)
         h = total[self.end - 1] - total[self.start] + term[self.start]
