@@ -109,36 +109,34 @@ def _scanner(block) -> object:
             pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
             cols = [pa.array(words, pa.int64()), pa.array(hits, pair("first", "after")),
                     pa.array(items, pa.list_(pa.string())), pa.array(spans, pair("start", "end"))]
-            rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-            names = [f.name for f in batch.schema if f.name != "text"]
             if n:
-                yield pa.RecordBatch.from_arrays([*rest, *cols], [*names, "n_words", "hits", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "n_words", "hits", "items", "spans"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
     """The benchmark's distinct items in blocks of bounded words."""
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null").distinct().withColumn("n", size)
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = -(-total // (BLOCK_WORDS // 2)) or 1
+    parts = 1 if total <= block_words else -(-2 * total // block_words)
     if parts == 1:
         return [[(r[0], r[1]) for r in items.select("item_id", "text").collect()]]
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     return [[(r[0], r[1]) for r in items.filter(part == p).select("item_id", "text").collect()] for p in range(parts)]
 
 
-def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``documents``: its columns but text, n_words, hits (runs of words), items and spans (code points).
+def contaminated_words(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row of ``documents``: its columns, n_words, hits (runs of words), items and spans (code points).
 
     ``hits`` and ``spans`` are lists, ``items`` the sorted ids of items with a window in the text.
     """
     spark = documents.sparkSession
     kept = documents.drop("n_words", "hits", "items", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + (
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + (
         ", n_words long, hits array<struct<first: long, after: long>>, items array<string>, spans array<struct<start: long, end: long>>")
-    blocks = _blocks(benchmark)
+    blocks = _blocks(benchmark, block_words)
     if len(blocks) == 1:
         return kept.mapInArrow(_scanner(spark.sparkContext.broadcast(blocks[0])), schema)
     # Rows are told apart by a number while the findings of all blocks are put together.
@@ -147,14 +145,19 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in blocks:
         part = numbered.mapInArrow(_scanner(spark.sparkContext.broadcast(b)), schema.replace(", n_words", ", __row long, n_words", 1))
         found = part if found is None else found.unionByName(part)
-    names = [c for c in kept.columns if c != "text"]
+    names = kept.columns
     together = found.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in names], F.first("n_words").alias("n_words"),
+        *[F.first(f"`{c}`").alias(c) for c in names], F.first("n_words").alias("n_words"),
         _merged("hits", "first", "after"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         _merged("spans", "start", "end"))
     return together.drop("__row")
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` in which no benchmark item has a window."""
+    return contaminated_words(documents, benchmark).filter(F.size("hits") == 0).select(*documents.columns)
+
+
 def _merged(name: str, a: str, b: str):
     """Runs of all blocks, overlapping or touching ones as one."""
     return F.expr(f"""aggregate(

@@ -229,3 +229,9 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
     rows = documents.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_predictor(network), f"{schema}, lang_pred string, score double")
+
+
+def accepted(documents: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
+    """``documents`` in a language: texts that are ``und`` go, and those whose best label has less than ``least``."""
+    labelled = predict(documents, network).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return labelled.select(*documents.columns)

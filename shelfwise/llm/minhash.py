@@ -192,10 +192,11 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, class.
+    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_id, comp.
 
     ``component_id`` is the smallest doc_id linked with the document, directly or
-    through others; ``kept`` marks it. ``class`` is shared by equal shingle sets.
+    through others; ``kept`` marks it. ``comp`` names the component whatever its
+    ids are, and is null without shingles; ``text_id`` is a hash of the text.
     """
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -209,8 +210,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = classes.select("class", "rep.doc_id").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     named = written(named, "named")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(smallest, "comp").select("class", "component_id")
+    component = named.join(smallest, "comp").select("class", "comp", "component_id")
     linked = sketches.drop("bands").filter("n_shingles > 0").join(component, "class")
-    alone = sketches.drop("bands").filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    alone = sketches.drop("bands").filter("n_shingles = 0").withColumns({"comp": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
     return linked.unionByName(alone).select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class")
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_id", "comp")
+
+
+def without_near_duplicates(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each component: of the smallest id, and of equal ids the first by text hash.
+
+    Rows without shingles all stay.
+    """
+    rows = written(near_duplicates(documents), "components")
+    chosen = rows.filter("comp is not null and kept").groupBy("comp").agg(
+        F.min(F.struct("doc_id", "text_id")).alias("k"), F.count(F.lit(1)).alias("same"))
+    alone = rows.filter("comp is null").select("doc_id", "text_id", F.lit(1).cast("long").alias("same")).distinct()
+    keep = written(chosen.select("k.doc_id", "k.text_id", "same").unionByName(alone).select(
+        F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.col("same").alias("_same")), "keep")
+    if keep.count() <= BROADCAST_IDS:
+        keep = F.broadcast(keep)
+    found = documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")))
+    # Only rows that may be repeated as a whole are compared once more.
+    once = found.filter("_same = 1")
+    many = found.filter("_same > 1").dropDuplicates(["_id", "_text"])
+    return once.unionByName(many).select(*documents.columns)

@@ -30,7 +30,7 @@ low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_id", "comp")
 
 
 @query(sql=f"""
