@@ -115,6 +115,14 @@ def _scanner(block) -> object:
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the spans of hits that are already known."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        spans = [offsets(t.as_py(), [(r["first"], r["after"]) for r in h]) if h else [] for t, h in zip(b.column("text"), b.column("hits").to_pylist())]
+        yield b.append_column("spans", pa.array(spans, span))
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
     """The benchmark's distinct items in blocks of bounded words."""
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
@@ -148,9 +156,8 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, block_words:
     names = kept.columns
     together = found.groupBy("__row").agg(
         *[F.first(f"`{c}`").alias(c) for c in names], F.first("n_words").alias("n_words"),
-        _merged("hits", "first", "after"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        _merged("spans", "start", "end"))
-    return together.drop("__row")
+        _merged("hits", "first", "after"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return together.drop("__row").mapInArrow(_placed, schema)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
