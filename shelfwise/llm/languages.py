@@ -29,7 +29,7 @@ SEGMENT = 128
 HIDDEN = 8
 SAMPLE = 500
 MAX_LANGUAGES = 200
-EPOCHS = 14
+STEPS = 150
 BATCH = 200
 UNKNOWN = "und"
 _f = np.float32
@@ -128,23 +128,22 @@ class Network:
                 g["x"][d, :, k] = np.bincount(seen, own[:, k], 256)
         return g
 
-    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02) -> None:
+    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = 0.02) -> None:
         rng = np.random.default_rng(2)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, total = 0, epochs * -(-len(label) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(label))
-            for i in range(0, len(order), BATCH):
-                pick = order[i:i + BATCH]
-                g = self.gradients(data[:, pick], keep[:, pick], label[pick])
-                step += 1
-                now = rate * (1 - 0.9 * step / total)
-                for k in self.p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                    move = m[k] / (1 - 0.9 ** step) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-7)
-                    self.p[k] -= (now * move).astype(_f)
+        order = np.zeros(0, dtype=np.int64)
+        for step in range(1, steps + 1):
+            if len(order) < min(BATCH, len(label)):
+                order = rng.permutation(len(label))
+            pick, order = order[:BATCH], order[BATCH:]
+            g = self.gradients(data[:, pick], keep[:, pick], label[pick])
+            now = rate * (1 - 0.9 * step / steps)
+            for k in self.p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
+                move = m[k] / (1 - 0.9 ** step) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-7)
+                self.p[k] -= (now * move).astype(_f)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
