@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A value that is a rounding tie in exact arithmetic may sit a few ulp below
-# the tie after a floating sum; the slack sends it the same way as the tie.
-TIE_SLACK = 0.50001
-
-
 def round_half_up(c: Column, digits: int) -> Column:
+    """Rounded to ``digits``, halves away from zero, with plain double operations."""
     scale = float(10**digits)
-    return F.floor(c * scale + TIE_SLACK) / scale
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
 
 
 def money(c: Column) -> Column:
@@ -77,13 +73,18 @@ def hash_order_key(salt: str, *keys: Column, seed: int = 42) -> Column:
 
 
 def row_digest(*cols: Column) -> Column:
-    """Order-insensitive summable digest of a row: 48 bits of its md5."""
-    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
+    """Order-insensitive summable digest of a row: 48 bits of its md5.
+
+    Fields carry their length and NULL is a mark of its own, so that different rows give different texts.
+    """
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    text = F.concat_ws("|", *[field(c.cast("string")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
 
 
 def is_finite(c: Column) -> Column:
-    return ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    """NULL is not finite."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.lit(False))
 
 
 def iso_weekday(dt: Column) -> Column:

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.skew import join_counted
 from shelfwise.sources.storage import written
 
 PART, POS = "_part", "_pos"
@@ -34,23 +33,22 @@ def globally_sorted(df: DataFrame, order: Sequence[Column], label: str = "sorted
     return written(placed.drop("_rid"), label)
 
 
-def _offset_column(per_part: Sequence[tuple[int, object]], kind: str) -> Column:
-    """Exclusive prefix sums of one number per partition, looked up by ``_part``."""
-    total, starts = 0, {}
+def _with_start(placed: DataFrame, per_part: Sequence[tuple[int, object]], kind: str) -> DataFrame:
+    """``placed`` with ``_start``: the exclusive prefix sum of one number per partition."""
+    total, rows = 0, []
     for part, amount in sorted(per_part):
-        starts[part] = total
+        rows.append((part, str(total)))
         total += amount
-    size = max(starts, default=-1) + 1
-    dense = [starts.get(i, 0) for i in range(size)] or [0]
-    text = "array(" + ",".join(f"cast('{v}' as {kind})" for v in dense) + ")"
-    return F.get(F.expr(text), F.col(PART))
+    starts = placed.sparkSession.createDataFrame(rows, f"{PART} int, _start string")
+    # One row per partition.
+    return placed.join(F.broadcast(starts.withColumn("_start", F.col("_start").cast(kind))), PART)
 
 
 def with_rank(placed: DataFrame, name: str = "rank") -> DataFrame:
     """Add ROW_NUMBER over the whole frame produced by :func:`globally_sorted`."""
     counts = placed.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()
-    offset = _offset_column([(r[PART], r["n"]) for r in counts], "bigint")
-    return placed.withColumn(name, offset + F.col(POS) + 1)
+    started = _with_start(placed, [(r[PART], r["n"]) for r in counts], "bigint")
+    return started.select(*placed.columns, (F.col("_start") + F.col(POS) + 1).alias(name))
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -62,9 +60,9 @@ def with_running_total(placed: DataFrame, amount: Column, name: str, kind: str =
     summed = placed.groupBy(PART).agg(
         F.coalesce(F.sum(amount.cast(kind)), F.lit(0).cast(kind)).alias("s")
     ).collect()
-    offset = _offset_column([(r[PART], r["s"]) for r in summed], kind)
+    started = _with_start(placed, [(r[PART], r["s"]) for r in summed], kind)
     inside = Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn(name, (offset + F.sum(amount.cast(kind)).over(inside)).cast(kind))
+    return started.select(*placed.columns, (F.col("_start") + F.sum(amount.cast(kind)).over(inside)).cast(kind).alias(name))
 
 
 def with_grand_total(df: DataFrame, totals: dict[str, Column]) -> DataFrame:
@@ -83,10 +81,8 @@ def average_percent_rank(df: DataFrame, value: str, key: Sequence[str], name: st
     ranked = global_rank(present.select(value, *key), [F.col(value), *[F.col(k) for k in key]], "_rank")
     n = ranked.count()
     ties = ranked.groupBy(value).agg(
-        ((F.min("_rank") + F.max("_rank")) / 2 / F.lit(float(max(n, 1)))).alias(name),
-        F.count(F.lit(1)).alias("_ties"),
-    )
-    return join_counted(df, written(ties, "ties"), value, "_ties", n)
+        ((F.min("_rank") + F.max("_rank")) / 2 / F.lit(float(max(n, 1)))).alias(name))
+    return df.join(written(ties, "ties"), value, "left").select(*df.columns, name)
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

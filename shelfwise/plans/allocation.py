@@ -1,27 +1,31 @@
 """Spending one shared budget over globally ranked orders, exactly.
 
 Taking the orders strictly in rank would be one step per order. Instead each
-round funds a whole stretch at once: a prefix sum of full order values finds
-the first order that no longer fits (the pivot); everything before it is funded
-in full, the pivot gets the whole packs the rest still buys (if that reaches
-its MOQ), and orders that not even their smallest purchase fits are out for
-good, because the budget only shrinks. The driver sees one sum per partition
-and one pivot row per round. Money is whole cents, so sums are exact.
+round funds whole range partitions at once: sums of the order values per
+partition show how many partitions the budget covers in full. The first one it
+does not cover is walked in rank by one executor task, and the next round goes
+on behind it, so there are at most as many rounds as partitions. Orders that
+not even their smallest purchase fits are out for good, because the budget only
+shrinks. The driver sees one sum per partition. Quantities are whole packs and
+money is decimal, so sums are exact for any pack size and unit cost.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfwise.operators.ordered import PART, POS, globally_sorted, with_rank, with_running_total
 from shelfwise.schemas import DECISION_KEY
+from shelfwise.sources.storage import new_path
 
-# Remaining candidates up to this many are walked one by one on the driver.
-TAIL_ROWS = 10_000
+MONEY = "decimal(38,8)"
+_UNITS = 10**8
 
 PROCUREMENT_ALLOCATION = [
     "priority_rank", *DECISION_KEY, "urgency_score", "urgency_band", "minimum_order_quantity",
@@ -35,14 +39,14 @@ def rank_order() -> list[Column]:
     return [F.desc("urgency_score"), F.col("store_id"), F.col("product_id")]
 
 
-def to_cents(c: Column) -> Column:
-    return F.floor(c * 100.0 + 0.5).cast("bigint")
+def to_money(c: Column) -> Column:
+    return c.cast("decimal(28,8)")
 
 
-def budget_cents(budget: float) -> int:
+def budget_amount(budget: float) -> Decimal:
     if not math.isfinite(budget) or budget < 0:
         raise ValueError("budget must be finite and not negative")
-    return math.floor(budget * 100 + 1e-6)
+    return Decimal(repr(float(budget))).quantize(Decimal("1e-8"), rounding="ROUND_DOWN")
 
 
 def eligible_orders(scored: DataFrame) -> DataFrame:
@@ -65,109 +69,90 @@ def funding_status(given: Column, wanted: Column) -> Column:
     return F.when(given == 0, "UNFUNDED").when(given < wanted, "PARTIALLY FUNDED").otherwise("FULLY FUNDED")
 
 
-def _affordable(left: int, pack: int, cents: int, moq: float, requested: int) -> int:
-    q = min(requested, left // (pack * cents) * pack)
-    return q if q >= moq else 0
+def _walk(left: int):
+    """Orders of one partition in rank, from a budget of ``left`` units: rank and packs given."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = left
+        for rows in batches:
+            given = []
+            for price, packs, pack, moq in zip(rows["_price"], rows["_packs"], rows["case_pack_size"], rows["minimum_order_quantity"]):
+                units = int(price * _UNITS)
+                n = min(packs, rest // units) if units else packs
+                n = n if n > 0 and n * pack >= moq else 0
+                rest -= n * units
+                given.append(n)
+            yield pd.DataFrame({"priority_rank": rows["priority_rank"], "_walked": pd.Series(given, dtype="int64")})
 
-def _plan_rounds(orders: DataFrame, left: int, tail_rows: int) -> tuple[list[tuple], dict[int, int]]:
-    """Rounds (after, pivot, budget at start, pivot quantity) and the walked tail."""
-    rounds: list[tuple[int, int, int, int]] = []
-    after = 0
+    return run
+
+
+def _plan_rounds(orders: DataFrame, left: Decimal) -> tuple[list[tuple[int, Decimal]], str | None]:
+    """Partitions funded in full with the budget that decides who is open there, and the folder of the walked ones."""
+    covered: list[tuple[int, Decimal]] = []
+    folder, after = None, -1
     while True:
-        open_orders = orders.filter((F.col("priority_rank") > after) & (F.col("_min_cents") <= left))
-        parts = sorted(
-            (r[PART], r["n"], r["s"])
-            for r in open_orders.groupBy(PART)
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("_full_cents").alias("s")).collect()
-        )
-        if sum(n for _, n, _ in parts) <= tail_rows:
-            rows = open_orders.select(
-                "priority_rank", "_pack", "_cents", "minimum_order_quantity", "_requested"
-            ).collect()
-            tail = {}
-            for r in sorted(rows):
-                q = _affordable(left, r["_pack"], r["_cents"], r["minimum_order_quantity"], r["_requested"])
-                left -= q * r["_cents"]
-                if q:
-                    tail[r["priority_rank"]] = q
-            return rounds, tail
-        spent = 0
-        for part, _, s in parts:
+        open_orders = orders.filter((F.col(PART) > after) & (F.col("_least") <= F.lit(left)))
+        sums = sorted((r[PART], r["s"]) for r in open_orders.groupBy(PART).agg(F.sum("_full").cast(MONEY).alias("s")).collect())
+        spent, pivot = Decimal(0), None
+        for part, s in sums:
             if spent + s > left:
+                pivot = part
                 break
             spent += s
-        else:
-            rounds.append((after, 2**62, left, 0))
-            return rounds, {}
-        running = F.sum("_full_cents").over(
-            Window.partitionBy(PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        pivot = (
-            open_orders.filter(F.col(PART) == part).withColumn("_run", running)
-            .filter(F.col("_run") > left - spent)
-            .agg(F.min(F.struct("priority_rank", "_run", "_full_cents", "_pack", "_cents",
-                                "minimum_order_quantity", "_requested")).alias("p"))
-            .first()["p"]
-        )
-        rest = left - spent - (pivot["_run"] - pivot["_full_cents"])
-        q = _affordable(rest, pivot["_pack"], pivot["_cents"], pivot["minimum_order_quantity"], pivot["_requested"])
-        rounds.append((after, pivot["priority_rank"], left, q))
-        after, left = pivot["priority_rank"], rest - q * pivot["_cents"]
-
-
-def _round_quantity(rounds: list[tuple]) -> Column:
-    rank = F.col("priority_rank")
-    if not rounds:
-        return F.lit(0).cast("bigint")
-    table = F.array(*[
-        F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(("after", "pivot", "left", "q"), r)])
-        for r in rounds
-    ])
-    mine = F.get(F.filter(table, lambda r: (r["after"] < rank) & (rank <= r["pivot"])), F.lit(0))
-    return (
-        F.when(mine["pivot"] == rank, mine["q"])
-        .when(F.col("_min_cents") <= mine["left"], F.col("_requested"))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
+            covered.append((part, left))
+        left -= spent
+        if pivot is None:
+            return covered, folder
+        folder = folder or new_path(orders.sparkSession, "walked")
+        path = f"{folder}/part={pivot}"
+        own = orders.filter(F.col(PART) == pivot).repartition(1).sortWithinPartitions(POS).select(
+            "priority_rank", "_price", "_packs", "case_pack_size", "minimum_order_quantity")
+        own.mapInPandas(_walk(int(left * _UNITS)), "priority_rank long, _walked long").write.parquet(path)
+        walked = orders.sparkSession.read.parquet(path).join(orders.filter(F.col(PART) == pivot), "priority_rank")
+        left -= walked.agg(F.sum(_cost("_walked")).cast(MONEY).alias("s")).first()["s"]
+        after = pivot
+
 
+def _cost(packs: str) -> Column:
+    return (F.col(packs).cast("decimal(10,0)") * F.col("_price")).cast(MONEY)
 
-def procurement_allocation(scored: DataFrame, budget: float, tail_rows: int = TAIL_ROWS) -> DataFrame:
+
+def procurement_allocation(scored: DataFrame, budget: float) -> DataFrame:
     """Whole-pack greedy allocation in rank order with MOQ, one row per eligible order."""
-    return allocate_ranked(ranked_orders(scored), budget, tail_rows)
+    return allocate_ranked(ranked_orders(scored), budget)
 
 
-def allocate_ranked(ranked: DataFrame, budget: float, tail_rows: int = TAIL_ROWS) -> DataFrame:
-    pack, moq = F.col("_pack"), F.col("minimum_order_quantity")
+def allocate_ranked(ranked: DataFrame, budget: float) -> DataFrame:
+    spark = ranked.sparkSession
+    pack, moq = F.col("case_pack_size"), F.col("minimum_order_quantity")
+    price = F.col("case_pack_size").cast("decimal(18,6)") * F.col("supplier_unit_cost").cast("decimal(18,8)")
+    # A quotient a few ulp off a whole number of packs is that number.
     orders = ranked.withColumns({
-        "_pack": F.col("case_pack_size").cast("bigint"),
-        "_cents": to_cents(F.col("supplier_unit_cost")),
-        "_requested": F.col("requested_quantity").cast("bigint"),
-    }).withColumns({
-        "_full_cents": F.col("_requested") * F.col("_cents"),
-        "_min_cents": F.greatest(F.ceil(moq / F.col("case_pack_size")).cast("bigint"), F.lit(1).cast("bigint"))
-        * pack * F.col("_cents"),
-    })
-    start = budget_cents(budget)
-    rounds, tail = _plan_rounds(orders, start, tail_rows)
-    given = orders.withColumn("_q", _round_quantity(rounds))
-    if tail:
-        schema = StructType([StructField("priority_rank", LongType()), StructField("_tail", LongType())])
-        walked = orders.sparkSession.createDataFrame(sorted(tail.items()), schema)
-        # At most tail_rows rows, by construction.
-        given = given.join(F.broadcast(walked), "priority_rank", "left").withColumn(
-            "_q", F.coalesce("_tail", "_q")
-        )
-    given = given.withColumn("_spent", F.col("_q") * F.col("_cents"))
-    given = with_running_total(given, F.col("_spent"), "_upto")
-    cents = lambda c: c / F.lit(100.0)
+        "_price": price.cast("decimal(22,8)"),
+        "_packs": F.floor(F.col("requested_quantity") / pack + 1e-9).cast("bigint"),
+        "_least_packs": F.greatest(F.ceil(moq / pack - 1e-9).cast("bigint"), F.lit(1).cast("bigint")),
+    }).withColumns({"_full": _cost("_packs"), "_least": _cost("_least_packs")})
+    start = budget_amount(budget)
+    covered, folder = _plan_rounds(orders, start)
+    runs = spark.createDataFrame(covered, f"{PART} int, _budget {MONEY}")
+    # One row per partition.
+    given = orders.join(F.broadcast(runs), PART, "left")
+    packs = F.when(F.col("_least") <= F.col("_budget"), F.col("_packs"))
+    if folder:
+        walked = spark.read.parquet(folder).select("priority_rank", "_walked")
+        given = given.join(walked, "priority_rank", "left")
+        packs = F.coalesce("_walked", packs)
+    given = given.withColumn("_q", F.coalesce(packs, F.lit(0).cast("bigint"))).withColumn("_spent", _cost("_q"))
+    given = with_running_total(given, F.col("_spent"), "_upto", MONEY)
+    amount = lambda c: c.cast("double")
     out = given.withColumns({
-        "allocated_quantity": F.col("_q").cast("double"),
-        "allocated_order_value": cents(F.col("_spent")),
-        "unmet_quantity_after_allocation": (F.col("_requested") - F.col("_q")).cast("double"),
-        "funding_status": funding_status(F.col("_q"), F.col("_requested")),
-        "budget_before_order": cents(F.lit(start) - F.col("_upto") + F.col("_spent")),
-        "budget_after_order": cents(F.lit(start) - F.col("_upto")),
+        "allocated_quantity": F.col("_q") * pack,
+        "allocated_order_value": amount(F.col("_spent")),
+        "unmet_quantity_after_allocation": (F.col("_packs") - F.col("_q")) * pack,
+        "funding_status": funding_status(F.col("_q"), F.col("_packs")),
+        "budget_before_order": amount(F.lit(start) - F.col("_upto") + F.col("_spent")),
+        "budget_after_order": amount(F.lit(start) - F.col("_upto")),
     })
     return out.select(*PROCUREMENT_ALLOCATION)
 
@@ -175,26 +160,22 @@ def allocate_ranked(ranked: DataFrame, budget: float, tail_rows: int = TAIL_ROWS
 def capital_allocation_value(scored: DataFrame, budget: float) -> DataFrame:
     """Prototype rule: cut the running order value at the budget, quantities pro rata."""
     orders = scored.filter("final_recommended_quantity > 0").withColumn(
-        "_value", to_cents(F.coalesce("final_order_value", F.lit(0.0)))
+        "_value", to_money(F.coalesce("final_order_value", F.lit(0.0)))
     )
     placed = globally_sorted(orders, rank_order(), "capital")
-    start = budget_cents(budget)
-    run = with_running_total(placed, F.col("_value"), "_upto")
-    value, upto = F.col("_value"), F.col("_upto")
-    given = (
-        F.when(upto <= start, value)
-        .when(upto - value >= start, F.lit(0).cast("bigint"))
-        .otherwise(F.lit(start) - (upto - value))
-    )
-    run = run.withColumn("_given", given)
+    start, none = F.lit(budget_amount(budget)).cast(MONEY), F.lit(0).cast(MONEY)
+    run = with_running_total(placed, F.col("_value"), "_upto", MONEY)
+    value, upto = F.col("_value").cast(MONEY), F.col("_upto")
+    given = F.greatest(none, F.least(value, start - (upto - value)))
+    run = run.withColumn("_given", given.cast(MONEY))
     quantity = F.col("final_recommended_quantity")
     return run.select(
         *DECISION_KEY, "urgency_score", "urgency_band",
         quantity.alias("requested_order_quantity"),
-        (value / F.lit(100.0)).alias("requested_order_value"),
+        value.cast("double").alias("requested_order_value"),
         F.coalesce(quantity * F.try_divide(F.col("_given").cast("double"), value.cast("double")), F.lit(0.0))
         .alias("allocated_order_quantity"),
-        (F.col("_given") / F.lit(100.0)).alias("allocated_order_value"),
+        F.col("_given").cast("double").alias("allocated_order_value"),
         funding_status(F.col("_given"), value).alias("funding_status"),
-        (F.least(upto, F.lit(start)) / F.lit(100.0)).alias("cumulative_budget_used"),
+        F.least(upto, start).cast("double").alias("cumulative_budget_used"),
     )

@@ -303,6 +303,11 @@ def discount_status(rows: DataFrame) -> DataFrame:
     )
 
 
+def exact_mean(name: str) -> Column:
+    """Mean of a column of hundredths, summed as decimals: a tie in the last digit is one in any order of the rows."""
+    return F.sum(F.col(name).cast("decimal(18,2)")).cast("double") / F.count(name)
+
+
 def top_sales_days(rows: DataFrame, k: int = 15) -> DataFrame:
     return (
         rows.groupBy("dt")
@@ -310,7 +315,7 @@ def top_sales_days(rows: DataFrame, k: int = 15) -> DataFrame:
             F.sum(sale()).alias("total"),
             r4(F.avg("activity_flag")).alias("activity_rate"),
             r4(F.avg("holiday_flag")).alias("holiday_rate"),
-            r4(F.avg("discount")).alias("average_discount"),
+            r4(exact_mean("discount")).alias("average_discount"),
             r4(F.avg(out_hours())).alias("average_stockout_hours"),
         )
         .orderBy(F.desc("total"), "dt")

@@ -10,10 +10,11 @@ from shelfwise.operators import gates
 from shelfwise.plans import features
 from shelfwise.schemas import DAILY_KEY
 
+# Band edges and the labels users filter on.
 DEMAND_EDGES = [0.0, 0.5, 1.0, 2.0]
-DEMAND_LABELS = ["0", "0-0.5", "0.5-1", "1-2", "2+"]
+DEMAND_LABELS = ["Zero", "0-0.5", "0.5-1.0", "1.0-2.0", ">2.0"]
 STOCKOUT_EDGES = [0.0, 4.0, 8.0]
-STOCKOUT_LABELS = ["none", "0-4", "4-8", "8+"]
+STOCKOUT_LABELS = ["No recent stockout", "0-4 hours", "4-8 hours", ">8 hours"]
 
 
 def mae(a: Column, p: Column) -> Column:

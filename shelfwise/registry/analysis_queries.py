@@ -197,7 +197,7 @@ SELECT CASE WHEN discount = 1 THEN 'No discount' ELSE 'Discounted' END AS discou
 query("top_sales_days", oracle(f"""
 SELECT dt, {r2("total")} AS total_sales, activity_rate, holiday_rate, average_discount, average_stockout_hours
 FROM (SELECT dt, sum(sale_amount) AS total, {r4("avg(activity_flag)")} AS activity_rate,
-             {r4("avg(holiday_flag)")} AS holiday_rate, {r4("avg(discount)")} AS average_discount,
+             {r4("avg(holiday_flag)")} AS holiday_rate, {r4("CAST(sum(CAST(discount AS DECIMAL(18,2))) AS DOUBLE) / count(discount)")} AS average_discount,
              {r4("avg(stockout_hours)")} AS average_stockout_hours FROM train GROUP BY dt)
 ORDER BY total DESC, dt LIMIT 15""", dates="dt"))(
     lambda s, d: a.top_sales_days(inputs.train(s, d)))

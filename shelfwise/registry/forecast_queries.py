@@ -49,13 +49,13 @@ _BY = "count(*) AS observations, avg(actual) AS actual_mean, avg(absolute_error)
 query("error_by_weekend", oracle(f"SELECT is_weekend, {_BY} FROM {ERRORS} GROUP BY 1", "actual_mean mae"))(
     lambda s, d: e.error_by_weekend(_errors(s, d)))
 query("error_by_demand_band", oracle(f"""
-SELECT CASE WHEN actual <= 0 THEN '0' WHEN actual <= 0.5 THEN '0-0.5' WHEN actual <= 1 THEN '0.5-1'
-            WHEN actual <= 2 THEN '1-2' ELSE '2+' END AS demand_band, {_BY} FROM {ERRORS} GROUP BY 1""",
+SELECT CASE WHEN actual <= 0 THEN 'Zero' WHEN actual <= 0.5 THEN '0-0.5' WHEN actual <= 1 THEN '0.5-1.0'
+            WHEN actual <= 2 THEN '1.0-2.0' ELSE '>2.0' END AS demand_band, {_BY} FROM {ERRORS} GROUP BY 1""",
     "actual_mean mae"))(
     lambda s, d: e.error_by_demand_band(_errors(s, d)))
 query("error_by_stockout_band", oracle(f"""
-SELECT CASE WHEN stockout_rolling_mean_7 <= 0 THEN 'none' WHEN stockout_rolling_mean_7 <= 4 THEN '0-4'
-            WHEN stockout_rolling_mean_7 <= 8 THEN '4-8' ELSE '8+' END AS stockout_band, {_BY}
+SELECT CASE WHEN stockout_rolling_mean_7 <= 0 THEN 'No recent stockout' WHEN stockout_rolling_mean_7 <= 4 THEN '0-4 hours'
+            WHEN stockout_rolling_mean_7 <= 8 THEN '4-8 hours' ELSE '>8 hours' END AS stockout_band, {_BY}
 FROM {ERRORS} GROUP BY 1""", "actual_mean mae"))(
     lambda s, d: e.error_by_stockout_band(_errors(s, d)))
 

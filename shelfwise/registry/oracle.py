@@ -100,7 +100,13 @@ FROM features WHERE history_count_28 = 28 AND dt BETWEEN DATE '2024-06-26' AND D
 
 
 def rounded(expr: str, digits: int = 6) -> str:
-    return f"floor(({expr}) * 1e{digits} + 0.50001e0) / 1e{digits}"
+    """Halves away from zero."""
+    return f"(sign({expr}) * floor(abs({expr}) * 1e{digits} + 0.5e0) / 1e{digits})"
+
+
+def compared(expr: str) -> str:
+    """Six digits for the comparison of two engines; ties may lie a few ulp to either side."""
+    return f"floor(({expr}) * 1e6 + 0.50001e0) / 1e6"
 
 
 def _needed(text: str) -> list[str]:
@@ -123,7 +129,7 @@ def oracle(body: str, doubles: str = "", dates: str = "", recursive: str = "") -
     ctes = [f"{n} AS ({TABLES[n]})" for n in _needed(body + " " + recursive)]
     if recursive:
         ctes.append(recursive)
-    replaced = [f'{rounded(c)} AS {c}' for c in doubles.split()]
+    replaced = [f'{compared(c)} AS {c}' for c in doubles.split()]
     replaced += [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()]
     star = "*" + (f" REPLACE ({', '.join(replaced)})" if replaced else "")
     head = "WITH RECURSIVE "

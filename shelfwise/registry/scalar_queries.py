@@ -123,8 +123,8 @@ FROM fact GROUP BY store_id"""))(
             F.col("stockout_hours").cast("string")).alias("text"))))
 
 query("scalar_right_closed_bins", oracle(f"""
-SELECT store_id, product_id, dt, CASE WHEN sale_amount <= 0 THEN '0' WHEN sale_amount <= 0.5 THEN '0-0.5'
-  WHEN sale_amount <= 1 THEN '0.5-1' WHEN sale_amount <= 2 THEN '1-2' ELSE '2+' END AS band FROM fact""", "", "dt"))(
+SELECT store_id, product_id, dt, CASE WHEN sale_amount <= 0 THEN 'Zero' WHEN sale_amount <= 0.5 THEN '0-0.5'
+  WHEN sale_amount <= 1 THEN '0.5-1.0' WHEN sale_amount <= 2 THEN '1.0-2.0' ELSE '>2.0' END AS band FROM fact""", "", "dt"))(
     lambda s, d: inputs.fact(s, d).select(
         *DAILY_KEY, x.right_closed_band(F.col("sale_amount"), [0.0, 0.5, 1.0, 2.0],
-                                        ["0", "0-0.5", "0.5-1", "1-2", "2+"]).alias("band")))
+                                        ["Zero", "0-0.5", "0.5-1.0", "1.0-2.0", ">2.0"]).alias("band")))

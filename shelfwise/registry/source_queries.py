@@ -81,7 +81,8 @@ query("source_row_counts", oracle("""
 SELECT source_file, count(*) AS rows, CAST(18 AS INTEGER) AS columns FROM raw_rows GROUP BY source_file"""))(
     lambda s, d: t.source_row_counts(inputs.staging(s, d)))
 
-_DIGEST = "concat_ws('|', store_id, product_id, dt, CAST(round(sale_amount * 16) AS BIGINT), stock_hour6_22_cnt)"
+_FIELDS = ["store_id", "product_id", "dt", "CAST(round(sale_amount * 16) AS BIGINT)", "stock_hour6_22_cnt"]
+_DIGEST = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in _FIELDS)
 
 
 def _prints(rows):

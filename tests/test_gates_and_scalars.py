@@ -26,10 +26,24 @@ def test_hash_draws_do_not_depend_on_partitioning(spark):
     assert a == b and all(0 <= v < 1 for v in a.values()) and len(set(a.values())) == 200
 
 
-def test_rounding_treats_near_ties_as_ties(spark):
-    df = spark.createDataFrame([(0.0000785,), (1.005,), (0.285,)], "v double")
-    got = [tuple(r) for r in df.select(x.round_half_up(F.col("v"), 6), x.round_half_up(F.col("v"), 2)).collect()]
-    assert got == [(0.000079, 0.0), (1.005, 1.01), (0.285, 0.29)]
+def test_rounding_is_exact_with_halves_away_from_zero(spark):
+    df = spark.createDataFrame([(1.00499995,), (-0.125,), (0.125,), (-2.5,), (0.0,), (None,)], "v double")
+    got = [r[0] for r in df.select(x.round_half_up(F.col("v"), 2)).collect()]
+    assert got == [1.0, -0.13, 0.13, -2.5, 0.0, None]
+
+
+def test_digests_tell_fields_and_nulls_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("~", "c"), ("", "c")], "x string, y string")
+    assert df.select(x.row_digest(F.col("x"), F.col("y"))).distinct().count() == 5
+
+
+def test_null_is_not_finite_and_empty_tables_do_not_pass(spark):
+    from shelfwise.operators import gates
+
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (-1.0,)], "v double")
+    assert gates.finite_nonnegative(df, ["v"]).first()["actual"] == 3
+    assert not gates.row_count_gate(df.filter("false"), "rows", 0).first()["ok"]
+    assert gates.row_count_gate(df, "rows", 4).first()["ok"]
 
 
 def test_store_dimension_sentinel_and_city_gate(spark):

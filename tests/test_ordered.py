@@ -81,12 +81,7 @@ def test_grand_total_is_attached_to_every_row(spark):
         df.agg(F.max("amount")).first()[0]}
 
 
-def test_join_to_a_lookup_with_a_hot_key(spark):
-    from shelfwise.operators.skew import join_counted
-
-    rows = [(i, None if i % 10 == 0 else (7 if i % 3 else i)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, k long")
-    lookup = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 2)
-    got = {r["id"]: (r["k"], r["name"]) for r in join_counted(df, lookup, "k", "n", 2700).collect()}
-    assert got == {i: (k, None if k is None else 2 * k) for i, k in rows}
-    assert lookup.filter("n * 1000 > 2700").count() < 1000
+def test_percent_rank_with_a_value_on_most_rows(spark, many):
+    df = spark.createDataFrame([(i, 1.0 if i % 3 else float(i)) for i in range(600)], "id long, v double")
+    got = {r["id"]: r["p"] for r in ordered.average_percent_rank(df, "v", ["id"], "p").collect()}
+    assert got == {r["id"]: r["p"] for r in df.toPandas().assign(p=lambda x: x.v.rank(pct=True)).to_dict("records")}
