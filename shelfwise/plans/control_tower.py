@@ -144,19 +144,19 @@ def bi_demand_history(fact: DataFrame, tower: DataFrame) -> DataFrame:
 
 
 def bi_forecast_outlook(tower: DataFrame, forecast: DataFrame, run: DataFrame) -> DataFrame:
-    """Published decision next to its forecast and run; ``run`` is one row per run."""
+    """Published decision next to its forecast and run; ``run`` is one row per run, ``tower`` of one run."""
     f = forecast.select(
         *SERIES_KEY, "as_of_date", F.col("target_date").alias("forecast_date"),
         F.col("prediction").alias("predicted_demand"), F.col("run_id").alias("forecast_run_id"),
         "input_policy",
     )
-    r = run.select(
-        F.col("run_id").alias("forecast_run_id"),
-        F.get_json_object("config", "$.budget").cast("double").alias("scenario_budget"),
-    )
+    # A snapshot belongs to one run; its configuration is one row, so no row of the mart moves for it.
+    current = tower.agg(F.max("forecast_run_id").alias("_run"))
+    budget = F.get_json_object("config", "$.budget").cast("double")
+    r = run.join(F.broadcast(current), F.col("run_id") == F.col("_run")).agg(F.max(budget).alias("scenario_budget"))
     return tower.join(f, [*SERIES_KEY, "forecast_run_id"]).filter(
         F.col("forecast_date") == F.col("forecast_target_date")
-    ).join(r, "forecast_run_id").select(
+    ).crossJoin(F.broadcast(r)).select(
         *SERIES_KEY, "as_of_date", "forecast_date", "predicted_demand", "model_id", "forecast_run_id",
         "input_policy", *[x for x in CONTROL_TOWER[5:] if x not in (
             "reorder_required", "stockout_cost_per_unit", "on_time_delivery_rate", "priority_weight")],

@@ -129,6 +129,10 @@ def constraint_counts(tower: DataFrame) -> DataFrame:
     return one.select(F.inline(pairs))
 
 
+# Fixed value: shown while no single series is chosen.
+NO_OUTLOOK_ACTION = "Choose a store and product to trace the decision."
+
+
 def only_one(value: Column) -> Column:
     """The value when exactly one row is in context, else NULL."""
     return F.when(F.count(F.lit(1)) == 1, F.max(value))
@@ -147,6 +151,7 @@ def series_detail(outlook: DataFrame, by: Sequence[str]) -> DataFrame:
         return F.concat(F.lit(f"{label}: "), F.when(F.bool_or(name), "binding").otherwise("clear"))
 
     urgency = F.max("urgency_score")
+    amounts = [F.format_string("MOQ %.2f", F.max("minimum_order_quantity")), F.format_string("Pack %.0f", F.max("case_pack_size"))]
     key = [F.max(k).cast("string") for k in SERIES_KEY]
     return outlook.groupBy(*by).agg(
         F.when(single, F.concat(F.lit("S"), key[0], F.lit(" / SKU "), key[1])).otherwise(NO_SERIES)
@@ -161,8 +166,9 @@ def series_detail(outlook: DataFrame, by: Sequence[str]) -> DataFrame:
         F.when(single, F.max("control_tower_status")).otherwise(NO_OUTLOOK).alias("outlook_status"),
         F.when(single, F.concat_ws(" | ", binding("capital_constrained", "Capital"),
                                    binding("capacity_constrained", "Capacity"),
-                                   binding("shelf_life_constrained", "Shelf life")))
+                                   binding("shelf_life_constrained", "Shelf life"), *amounts))
         .otherwise(NO_OUTLOOK).alias("outlook_constraints"),
+        F.when(single, F.max("recommended_action")).otherwise(NO_OUTLOOK_ACTION).alias("outlook_action"),
     )
 
 

@@ -120,7 +120,8 @@ def _detail_sql(by: str) -> str:
     nums = ", ".join(f"CASE WHEN count(*) = 1 THEN max({n}) END AS outlook_{n}" for n in _NUMBERS)
     series = "'S' || max(store_id) || ' / SKU ' || max(product_id)"
     bound = (f"'Capital: ' || {flag('capital_constrained')} || ' | Capacity: ' || {flag('capacity_constrained')}"
-             f" || ' | Shelf life: ' || {flag('shelf_life_constrained')}")
+             f" || ' | Shelf life: ' || {flag('shelf_life_constrained')}"
+             " || printf(' | MOQ %.2f', max(minimum_order_quantity)) || printf(' | Pack %.0f', max(case_pack_size))")
     return f"""
 SELECT {by}, {when_one(series, k.NO_SERIES)} AS selected_series,
        {when_one('max(recommended_action)', k.NO_SELECTION_ACTION)} AS selected_action,
@@ -129,7 +130,8 @@ SELECT {by}, {when_one(series, k.NO_SERIES)} AS selected_series,
             ELSE printf('%.2f', max(urgency_score)) END END AS outlook_urgency,
        {when_one("strftime(max(forecast_date), '%d %b %Y')", k.NO_OUTLOOK)} AS outlook_forecast_date,
        {when_one('max(control_tower_status)', k.NO_OUTLOOK)} AS outlook_status,
-       {when_one(bound, k.NO_OUTLOOK)} AS outlook_constraints
+       {when_one(bound, k.NO_OUTLOOK)} AS outlook_constraints,
+       {when_one('max(recommended_action)', k.NO_OUTLOOK_ACTION)} AS outlook_action
 FROM ({_OUTLOOK_SQL}) GROUP BY {by}"""
 
 

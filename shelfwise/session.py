@@ -17,8 +17,6 @@ def local_session(cores: int | None = None, app: str = "shelfwise") -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
-        # Series lists are short (one entry per day), so many fit a hash aggregation.
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .config("spark.ui.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shelfwise-"))
         .getOrCreate()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -55,10 +56,11 @@ def source_row_counts(raw: DataFrame, columns: int | None = None) -> DataFrame:
     )
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str], path: str) -> DataFrame:
-    """Append the rows whose key is not there yet; returns what was appended."""
-    compare.absent_rows(new, existing, key).write.mode("errorifexists").parquet(path)
-    return new.sparkSession.read.schema(new.schema).parquet(path)
+def insert_if_absent(new: DataFrame, key: Sequence[str], path: str) -> DataFrame:
+    """Append the rows whose key the table at ``path`` lacks; returns the table."""
+    spark = new.sparkSession
+    compare.absent_rows(new, spark.read.schema(new.schema).parquet(path), key).write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
 
 
 def rebuild(df: DataFrame, path: str) -> DataFrame:
@@ -140,7 +142,8 @@ def latest_success(events: DataFrame, status: str, success: str, order: Sequence
 
 # --- snapshots ---------------------------------------------------------------
 
-_POINTER = StructType([StructField("run_id", StringType()), StructField("published_at", TimestampType())])
+_POINTER = StructType([
+    StructField("run_id", StringType()), StructField("published_at", TimestampType()), StructField("folder", StringType())])
 
 
 def publish(
@@ -154,24 +157,35 @@ def publish(
 
     The pointer is one appended row. Until it is committed, readers resolve
     the previous run, so a failed gate or a lost job leaves the old snapshot.
+    Every attempt has its own folder, so a run can be tried again.
     """
-    stored = {}
+    stored, folder = {}, f"{base}/run_id={run_id}/attempt={uuid.uuid4().hex}"
     for name, df in tables.items():
-        path = f"{base}/run_id={run_id}/{name}"
+        path = f"{folder}/{name}"
         df.write.mode("errorifexists").parquet(path)
         stored[name] = spark.read.schema(df.schema).parquet(path)
     gates.require(checks(stored))
-    row = spark.createDataFrame([(run_id, datetime.now(timezone.utc))], _POINTER)
+    row = spark.createDataFrame([(run_id, datetime.now(timezone.utc), folder)], _POINTER)
     row.write.mode("append").parquet(f"{base}/_published")
 
 
-def current_run(spark: SparkSession, base: str) -> str | None:
+def _pointer(spark: SparkSession, base: str):
     if not path_exists(spark, f"{base}/_published"):
         return None
     runs = spark.read.schema(_POINTER).parquet(f"{base}/_published")
-    row = runs.agg(F.max(F.struct("published_at", "run_id")).alias("r")).first()["r"]
+    return runs.agg(F.max(F.struct("published_at", "run_id", "folder")).alias("r")).first()["r"]
+
+
+def current_run(spark: SparkSession, base: str) -> str | None:
+    row = _pointer(spark, base)
     return row["run_id"] if row else None
 
 
+def current_folder(spark: SparkSession, base: str) -> str | None:
+    """Where the published attempt of the current run lies."""
+    row = _pointer(spark, base)
+    return row["folder"] if row else None
+
+
 def read_published(spark: SparkSession, base: str, name: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{base}/run_id={current_run(spark, base)}/{name}")
+    return spark.read.schema(schema).parquet(f"{current_folder(spark, base)}/{name}")

@@ -26,7 +26,7 @@ def settings(**change):
 
 
 def mart(spark, base):
-    folder = f"{base}/marts/run_id={tables.current_run(spark, f'{base}/marts')}/control_tower"
+    folder = f"{tables.current_folder(spark, f'{base}/marts')}/control_tower"
     return spark.read.parquet(folder)
 
 

@@ -45,6 +45,9 @@ def test_failed_publication_leaves_the_old_snapshot(spark):
     assert tables.read_published(spark, base, "m", good.schema).count() == 3
     tables.publish(spark, base, "three", {"m": good}, three)
     assert tables.current_run(spark, base) == "three"
+    tables.publish(spark, base, "two", {"m": good}, three)  # a failed run can be tried again
+    assert tables.current_run(spark, base) == "two"
+    assert tables.read_published(spark, base, "m", good.schema).count() == 3
 
 
 def test_latest_state_and_abandoned_runs(spark):
@@ -60,9 +63,10 @@ def test_rebuild_replaces_and_insert_only_adds(spark):
     path = storage.new_path(spark, "t")
     tables.rebuild(spark.range(5), path)
     assert tables.rebuild(spark.range(2), path).count() == 2
-    added = tables.insert_if_absent(spark.createDataFrame([(1,), (7,), (7,)], "id long"), spark.range(3), ["id"],
-                                    storage.new_path(spark, "t"))
-    assert [r["id"] for r in added.collect()] == [7]
+    new = spark.createDataFrame([(1,), (7,), (7,)], "id long")
+    for _ in range(2):  # the second time there is nothing to add
+        table = tables.insert_if_absent(new, ["id"], path)
+        assert sorted(r["id"] for r in table.collect()) == [0, 1, 7]
 
 
 def test_discard_removes_only_this_application(spark, tmp_path, monkeypatch):
