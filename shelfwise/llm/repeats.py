@@ -14,8 +14,11 @@ suffixes are sorted, and the longest previous factor of every position is the
 longer common prefix with the previous and the next smaller position in suffix
 order; the longest next factor likewise with greater positions. A window is a
 later copy where its previous factor has LENGTH bytes, and any copy where one of
-both has. Groups are bounded: anchors with more than GROUP different
-surroundings are split into their windows, which are counted by hash in Spark.
+both has. Groups are bounded: where more than GROUP different surroundings share
+an anchor, ranges of windows are counted by hash in Spark instead. The bytes that
+all windows of a range have in common must occur twice, or the range is done; where
+all bytes of the range occur twice, all its windows do; what is between is split
+into narrower ranges, down to single windows.
 
 Removal takes every byte of a repeated window, on the input. With ``keep_first``
 the first copy stays, in the order of text hash and position.
@@ -43,7 +46,9 @@ from shelfwise.sources.storage import written
 LENGTH = 400
 KGRAM = 64
 LEFT = LENGTH - KGRAM  # a window that names an anchor starts at most so far before it
-GROUP = 4096
+GROUP = 1024
+# Widths of the ranges of windows into which larger groups are split, one turn after the other.
+WIDTHS = (43, 6, 1)
 BROADCAST_TEXTS = 200_000
 _PLACE_BITS = np.uint64(28)
 
@@ -211,20 +216,60 @@ def _matched(keep_first: bool):
     return run
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of each piece by hash, for anchors with too many pieces for one task."""
-    for b in batches:
-        for i in range(0, b.num_rows, 1024):
-            rows = b.slice(i, 1024).to_pylist()
-            pieces = Pieces([(r["before"], r["piece"]) for r in rows])
-            h, whole = zip(*[pieces.window(LEFT - o) for o in range(LEFT + 1)])
-            h, whole = np.stack(h, axis=1), np.stack(whole, axis=1)
-            row, o = np.nonzero(whole)
-            keep = whole.sum(axis=1)
-            col = lambda c: pa.array([r[c] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [col("anchor"), col("around"), col("text_id"), col("at"), words.list_array(o.astype(np.int32), keep),
-                 words.list_array(h[whole].view(np.int64), keep)], ["anchor", "around", "text_id", "at", "o", "window"])
+def _node_batches(width: int):
+    """Ranges of windows, cut to ``width``, by the hash of the bytes all of them share and of all their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.blocks(batches):
+            data, offsets = words.text_bytes(b.column("text"))
+            rows = [(i, x["anchor"], x["around"], x["at"], low, min(low + width - 1, n["high"]))
+                    for i, w in enumerate(b.column("wanted").to_pylist()) for x in w for n in x["nodes"]
+                    for low in range(n["low"], n["high"] + 1, width)]
+            if not rows:
+                continue
+            row, anchor, around, at, low, high = (np.array(c, dtype=np.int64) for c in zip(*rows))
+            begin, stop = offsets[:-1][row], offsets[1:][row]
+            p, place = Prefixes(data), offsets[:-1][row] + at
+            core = (place - low >= begin) & (place - high + LENGTH <= stop)
+            whole = (place - high >= begin) & (place - low + LENGTH <= stop)
+            row, anchor, around, at, low, high, place, whole = (c[core] for c in (row, anchor, around, at, low, high, place, whole))
+            shared = p.of(place - low, place - high + LENGTH)
+            first, last = np.where(whole, place - high, place), np.where(whole, place - low + LENGTH, place)
+            extent = np.where(whole, p.of(first, last), words.mix(around.view(np.uint64) + np.uint64(5)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(anchor), pa.array(around), pa.array(b.column("text_id").to_numpy()[row], pa.int64()), pa.array(at),
+                pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(shared.view(np.int64)),
+                pa.array(extent.view(np.int64)), pa.array(whole)],
+                ["anchor", "around", "text_id", "at", "low", "high", "core", "extent", "whole"])
+
+    return run
+
+
+def _split_ranges(documents: DataFrame, contexts: DataFrame, keep_first: bool) -> DataFrame:
+    """Repeated windows of ``contexts`` as (anchor, around, low, high), range by range; no group meets in one task."""
+    place = contexts.select("anchor", "around", "rep")
+    active = place.select("anchor", "around", F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
+    found = None
+    for width in WIDTHS:
+        nodes = active.groupBy("anchor", "around").agg(F.collect_list(F.struct("low", "high")).alias("nodes")).join(place, ["anchor", "around"])
+        wanted = written(nodes.groupBy(F.col("rep.text_id").alias("text_id"), F.col("rep.doc_id").alias("doc_id")).agg(
+            F.collect_list(F.struct("anchor", "around", F.col("rep.at").alias("at"), "nodes")).alias("wanted")), "wanted")
+        rows = written(_of_texts(documents, wanted).mapInArrow(
+            _node_batches(width), "anchor long, around long, text_id long, at long, low int, high int, core long, extent long, whole boolean"
+        ), "ranges")
+        by = ["low", "high", "core"]
+        # A repeated row yields its surroundings again; they are one.
+        kinds = rows.groupBy(*by, "extent").agg(
+            F.min(F.struct("text_id", "at", "around", "anchor")).alias("one"), F.max("around").alias("z"), F.min("around").alias("a"))
+        kinds = written(kinds, "kinds")
+        same = rows.filter("whole").join(kinds.filter("a != z"), [*by, "extent"])
+        if keep_first:
+            same = same.filter((F.col("around") != F.col("one.around")) | (F.col("anchor") != F.col("one.anchor")))
+        full = written(same.select("anchor", "around", "low", "high"), "ranges")
+        found = full if found is None else found.unionByName(full)
+        several = kinds.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*by)
+        active = written(kinds.join(several, by).select("one.anchor", "one.around", "low", "high"), "active")
+    return found
 
 
 def _of_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -244,7 +289,7 @@ def _pieces(documents: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, keep_first: bool = False) -> DataFrame:
-    """Per text of ``documents`` (doc_id, text_id, text) with repeats: text_id, spans (start, end; bytes, may overlap)."""
+    """Per text of ``documents`` (doc_id, text_id, text) with repeats: text_id, spans (start, end; maximal runs of bytes)."""
     kind = dict(documents.dtypes)["doc_id"]
     found = written(documents.mapInArrow(
         _anchor_batches, f"doc_id {kind}, text_id long, n long, at array<long>, anchor array<long>, around array<long>"), "anchors")
@@ -261,30 +306,30 @@ def repeated_spans(documents: DataFrame, keep_first: bool = False) -> DataFrame:
     unsure = contexts.join(groups, "anchor")
     parts = _pieces(documents, unsure.filter(F.col("kinds") <= GROUP)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         _matched(keep_first), "anchor long, around long, low int, high int")
-    if groups.filter(F.col("kinds") > GROUP).isEmpty():
-        ranges = parts
-    else:
-        windows = _pieces(documents, unsure.filter(F.col("kinds") > GROUP)).mapInArrow(
-            _window_batches, "anchor long, around long, text_id long, at long, o array<int>, window array<long>")
-        rows = windows.select("anchor", "around", "text_id", "at", F.explode(F.arrays_zip("o", "window")).alias("x")).select(
-            "anchor", "around", "text_id", "at", "x.o", "x.window")
-        # A repeated row yields its pieces again; pieces are told apart by their surroundings.
-        met = rows.groupBy("o", "window").agg(F.min("around").alias("a"), F.max("around").alias("z"), F.min(F.struct("text_id", "at")).alias("first"))
-        again = rows.join(met.filter("a != z"), ["o", "window"])
-        if keep_first:
-            again = again.filter(F.struct("text_id", "at") > F.col("first"))
-        ranges = parts.unionByName(again.select("anchor", "around", F.col("o").alias("low"), F.col("o").alias("high")))
+    large = unsure.filter(F.col("kinds") > GROUP)
+    ranges = parts if large.isEmpty() else parts.unionByName(_split_ranges(documents, written(large, "large"), keep_first))
     ranges = written(ranges.distinct(), "ranges")
     start, end = F.greatest(F.col("at") - LEFT, F.lit(0)), F.least(F.col("at") + LENGTH, F.col("n"))
     copies = shared.join(contexts.filter("k > 1").select("anchor", "around", "rep"), ["anchor", "around"])
     if keep_first:
         copies = copies.filter((F.col("text_id") != F.col("rep.text_id")) | (F.col("at") != F.col("rep.at")) | ~F.col("doc_id").eqNullSafe(F.col("rep.doc_id")))
     whole = copies.select("text_id", "doc_id", start.alias("start"), end.alias("end"))
-    part = shared.join(ranges, ["anchor", "around"]).select(
-        "text_id", "doc_id", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + LENGTH).alias("end"))
+    # Ranges matter for the first place of their surroundings only; all others are copies throughout.
+    first = contexts if keep_first else contexts.filter("k = 1")
+    part = ranges.join(first, ["anchor", "around"]).select(
+        "rep.text_id", "rep.doc_id", (F.col("rep.at") - F.col("high")).alias("start"), (F.col("rep.at") - F.col("low") + LENGTH).alias("end"))
     spans = whole.unionByName(part)
     keys = ["text_id", "doc_id"] if keep_first else ["text_id"]
-    return written(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    by_text = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return written(by_text.mapInArrow(_merge_batches, by_text.schema), "spans")
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's spans as maximal runs, which are far fewer."""
+    for b in batches:
+        at = b.schema.get_field_index("spans")
+        runs = [[{"start": x, "end": y} for x, y in merged(s)] for s in b.column(at).to_pylist()]
+        yield b.set_column(at, b.schema.field(at), pa.array(runs, b.schema.field(at).type))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
