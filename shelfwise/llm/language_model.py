@@ -40,7 +40,7 @@ ENDING_CLASSES = 16
 CLASSES = OWN_CLASSES + ENDING_CLASSES
 FEATURES = 5
 FEATURE_ROWS = 4096
-HEAD = 1 << 21
+HEAD = 1 << 17
 BATCH = 8192
 TURNS = 2
 RATE = 0.3
