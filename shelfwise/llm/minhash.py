@@ -44,8 +44,8 @@ SIMILARITY = 75  # per cent
 # Ids of this many classes are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 MEMBERS_PER_CHUNK = 64
-# Hubs drawn from a bucket at the second turn, and eight times as many at each further one.
-HUBS = 16
+# Hubs drawn from a bucket at the first turns; eight times as many at each further one.
+HUBS = (1, 1, 1, 4)
 _MAX = np.uint64((1 << 64) - 1)
 _SEEDS = words.seeds(2 * T, 0x51)
 _BAND_SEEDS = words.seeds(T, 0xBA).reshape(BANDS, ROWS) | np.uint64(1)
@@ -139,11 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (class, comp) after joining the components that the edges (u, v) between classes connect."""
+    """Labels (class, central, comp) after joining the components that the edges (u, v) between classes connect."""
     of = lambda end: labels.select(F.col("class").alias(end), F.col("comp").alias(f"comp_{end}"))
     between = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v"))
     roots = components(between)
-    return written(labels.join(roots, labels["comp"] == roots["node"], "left").select("class", F.coalesce("root", "comp").alias("comp")), "labels")
+    return written(labels.join(roots, labels["comp"] == roots["node"], "left").select("class", "central", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
 def _similar_size(a: str, b: str):
@@ -151,10 +151,13 @@ def _similar_size(a: str, b: str):
 
 
 def _drawn(members: DataFrame, per_bucket: int, turn: int) -> DataFrame:
-    """At most ``per_bucket`` hubs of every bucket: the first of each of as many hash groups."""
-    priority = F.xxhash64("class", F.lit(turn))
-    return members.groupBy("key", F.pmod(F.xxhash64("class", F.lit(-turn - 1)), F.lit(per_bucket)).alias("g")).agg(
-        F.min(F.struct(priority.alias("p"), "class", "n", "comp")).alias("h")
+    """At most ``per_bucket`` hubs of every bucket: the most central of each of as many hash groups.
+
+    A text that shares its buckets with many others is likely to be linked with many of them.
+    """
+    group = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(per_bucket))
+    return members.groupBy("key", group.alias("g")).agg(
+        F.min(F.struct((-F.col("central")).alias("p"), "class", "n", "comp")).alias("h")
     ).select("key", F.col("h.p").alias("p"), F.col("h.class").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
 
 
@@ -162,9 +165,10 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Components of the classes that share a bucket with another: (class, comp)."""
     spread = classes.select("class", "n", F.posexplode("bands").alias("band", "h")).select(
         F.xxhash64("band", "h").alias("key"), "class", "n")
-    shared = spread.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("key")
-    members = written(spread.join(shared, "key"), "buckets")
-    labels = written(members.select("class", F.col("class").alias("comp")).distinct(), "labels")
+    shared = spread.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("size")).filter("a != b").select("key", "size")
+    buckets = written(spread.join(shared, "key"), "buckets")
+    members = buckets.drop("size")
+    labels = written(buckets.groupBy("class").agg(F.sum("size").alias("central")).withColumn("comp", F.col("class")), "labels")
     wanted = labels.join(classes, "class").select("class", "rep.doc_id", "rep.text_id")
     if labels.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -172,21 +176,21 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     texts = written(
         d.join(w, F.col("d.text_id").eqNullSafe(F.col("w.text_id")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
         .select("w.class", "d.text").dropDuplicates(["class"]), "texts")
-    per_bucket, turn = HUBS, 0
+    turn = 0
     while True:
         now = members.join(labels, "class")
         split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
         now = written(now.join(split, "key"), "open")
         if now.isEmpty():
             return labels
-        hubs = written(_drawn(now, per_bucket if turn else 1, turn), "hubs")
+        per_bucket = HUBS[turn] if turn < len(HUBS) else HUBS[-1] * 8 ** (turn - len(HUBS) + 1)
+        hubs = written(_drawn(now, per_bucket, turn), "hubs")
         pairs = now.join(hubs, "key").filter(F.col("comp") != F.col("hub_comp")).filter(_similar_size("n", "hub_n"))
         if turn == 0:  # one hub each; the bulk of every group is joined before more are tried
             pairs = pairs.groupBy("class").agg(F.min(F.struct("p", "hub")).alias("h")).select(F.col("h.hub").alias("hub"), "class")
         else:
-            pairs = pairs.select(F.least("hub", "class").alias("hub"), F.greatest("hub", "class").alias("class")).distinct()
+            pairs = pairs.select("hub", "class").distinct()
             members = now.join(hubs.select("key", F.col("hub").alias("class")), ["key", "class"], "left_anti").select("key", "class", "n")
-            per_bucket *= 8
         labels = _merged(labels, _linked(pairs, texts))
         turn += 1
 
@@ -206,7 +210,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         sketches.filter("n_shingles > 0").groupBy("class").agg(
             F.first("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("rep"),
             F.first("bands").alias("bands")), "classes")
-    labels = class_links(classes, docs)
+    labels = class_links(classes, docs).drop("central")
     named = classes.select("class", "rep.doc_id").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     named = written(named, "named")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
