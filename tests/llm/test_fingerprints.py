@@ -1,4 +1,5 @@
 import hashlib
+from itertools import combinations
 
 import numpy as np
 from llm import common
@@ -74,3 +75,56 @@ def test_pruned_comparison_and_partitions():
         if len(a) and len(b) and full >= 0.6:
             assert abs(int(S.length_partition(len(a), 0.6)) - int(S.length_partition(len(b), 0.6))) <= 1
         assert (S.parse(S.fingerprint(a)) == a).all()
+
+
+def all_near(spark, df, least):
+    """The pairs that near_sets finds, as rows of documents, against all pairs compared."""
+    members, pairs = S.near_sets(df, least)
+    of = {r.doc_id: r.set for r in members.collect()}
+    found = {(r.a, r.b): r.near for r in pairs.collect()}
+    assert len(found) == pairs.count() and all(a < b for a, b in found)
+    texts = {r.doc_id: plain(r.text or "") for r in df.collect()}
+    assert set(of) == set(texts)
+    want = {}
+    for x, y in combinations(texts, 2):
+        near = jaccard(texts[x], texts[y])
+        assert (of[x] == of[y]) == (texts[x] == texts[y])
+        if near >= least and of[x] != of[y]:
+            want[min(of[x], of[y]), max(of[x], of[y])] = near
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    return len(want)
+
+
+def test_all_near_sets_wherever_they_stand(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = common.texts()
+    for n in (5, 12, 40, 60):  # sizes around the bounds of partitions, and a signature that many sets hold
+        ws = [f"the x{k}y a z{k} q{k}" for k in range(n)]
+        for _ in range(8):
+            values.append("the very common line here. " + " ".join(w for w in ws if rng.random() < 0.9))
+            values.append(" ".join(ws[: int(rng.integers(n // 2, n + 1))]))
+    ids = [(i * 37) % 1009 - 300 for i in range(len(values))]
+    df = common.frame(spark, values, ids).repartition(5)
+    counts = [all_near(spark, df, least) for least in (0.55, 0.8)]
+    assert counts[0] > counts[1] > 20
+    monkeypatch.setattr(S, "CELL", 3)
+    monkeypatch.setattr(S, "STEP", 4)
+    assert all_near(spark, df, 0.55) == counts[0]
+
+
+def test_near_sets_of_awkward_and_empty(spark):
+    df = common.awkward(spark)
+    members, pairs = S.near_sets(df, 0.5)
+    assert members.count() == df.count()
+    assert len({r.set for r in members.collect() if r.n == 0}) == 1
+    members, pairs = S.near_sets(common.empty(spark), 0.5)
+    assert members.collect() == [] and pairs.collect() == []
+
+
+def test_comparison_stops_early(monkeypatch):
+    looked = []
+    search = np.searchsorted
+    monkeypatch.setattr(S.np, "searchsorted", lambda b, x, **k: looked.append(np.size(x)) or search(b, x, **k))
+    a = np.arange(0, 20000, 2, dtype=np.uint32)
+    assert S.likeness(a, a + np.uint32(1), 0.9) == 0.0 and sum(looked) < 2000
+    assert S.likeness(np.arange(55, dtype=np.uint32), np.arange(100, dtype=np.uint32), 0.55) == 0.55
