@@ -10,11 +10,13 @@ throughout. What is left are surroundings that share the anchor only:
 mostly the ends of repeats.
 
 Where they end. The surroundings that share an anchor are put together, their
-suffixes are sorted, and the longest previous factor of every position is the
-longer common prefix with the previous and the next smaller position in suffix
-order; the longest next factor likewise with greater positions. A window is a
-later copy where its previous factor has LENGTH bytes, and any copy where one of
-both has. Groups are bounded: where more than GROUP different surroundings share
+suffixes are sorted with the common prefixes of neighbours. The longest previous
+factor of a position is the longer common prefix with the previous and the next
+smaller position in suffix order, the longest next factor likewise with greater
+positions. A window is a later copy where its previous factor has LENGTH bytes, and
+any copy where one of both has; only that is asked, so no array of factors is kept:
+suffixes with LENGTH bytes in common are a run, and all of a run but its smallest
+position have such a previous factor. Groups are bounded: where more than GROUP different surroundings share
 an anchor, ranges of windows are counted by hash in Spark instead. The bytes that
 all windows of a range have in common must occur twice, or the range is done; where
 all bytes of the range occur twice, all its windows do; what is between is split
@@ -141,38 +143,39 @@ class Pieces:
         for i, (before, piece) in enumerate(rows):
             self.low[i], self.high[i] = LEFT - before, LEFT - before + len(piece)
             self.bytes[i, self.low[i]:self.high[i]] = np.frombuffer(piece, dtype=np.uint8)
-        up, self.down = words.powers(width + 1)
-        self.total = np.zeros((width + 1, n), dtype=np.uint64)
         self.bytes = np.ascontiguousarray(self.bytes.T)
-        np.cumsum(words.BYTE[self.bytes] * up[:width, None], axis=0, out=self.total[1:])
 
-    def window(self, column: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window that starts at the column, and which pieces have it whole."""
-        h = (self.total[column + LENGTH] - self.total[column]) * self.down[column]
-        return words.mix(h), (self.low <= column) & (column + LENGTH <= self.high)
+    def whole(self, column: int) -> np.ndarray:
+        """Which pieces have all of the window that starts at the column."""
+        return (self.low <= column) & (column + LENGTH <= self.high)
 
 
 def repeated_windows(pieces: Pieces, order_of: np.ndarray, keep_first: bool) -> np.ndarray:
     """Which windows (n, LEFT + 1; by bytes before the anchor) have a copy, or an earlier one.
 
     Suffixes that start in the same column are sorted, for all columns from the last to the first, by
-    putting the column's byte before the order of the column after it. Suffixes that agree in LENGTH
-    bytes are neighbours in this order. The previous or next smaller position among them is an earlier
-    match, so the previous factor falls short only for the smallest; with greater positions likewise.
+    putting the column's byte before the order of the column after it. With the order goes the first column
+    in which neighbours differ: this one, or the least of those between them in the order before. Two suffixes
+    have a common prefix up to the least of those between them, so suffixes that agree in LENGTH bytes are a run.
+    A smaller position in a run is the previous or next smaller one, or beyond it in the run, so the previous
+    factor falls short only for the smallest of each run; with greater positions likewise.
     """
     width, n = pieces.bytes.shape
     found = np.zeros((n, LEFT + 1), dtype=bool)
-    order = np.arange(n)
+    order, differ = np.arange(n), np.full(n, width)
     for column in range(width - 1, -1, -1):
-        order = order[np.argsort(pieces.bytes[column][order], kind="stable")]
+        byte = pieces.bytes[column][order]
+        by = np.argsort(byte, kind="stable")
+        order, byte = order[by], byte[by]
+        differ = np.minimum.reduceat(differ, by)
+        differ[:-1][byte[1:] != byte[:-1]] = column
         if column > LEFT:
             continue
-        h, whole = pieces.window(column)
-        seq = order[whole[order]]
-        if len(seq) < 2:
+        at = np.flatnonzero(pieces.whole(column)[order])
+        if len(at) < 2:
             continue
-        ordered = h[seq]
-        same = ordered[1:] == ordered[:-1]
+        seq = order[at]
+        same = np.minimum.reduceat(differ, at)[:-1] >= column + LENGTH
         if not same.any():
             continue
         if keep_first:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from llm import common
 from shelfwise.llm import repeats as R
 
@@ -66,3 +67,29 @@ def test_awkward_and_empty(spark):
     data = df.collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(brute([r.text for r in data]))
     assert R.without_repeats(common.empty(spark)).collect() == []
+
+
+def test_common_prefixes_decide_without_hashes(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(R.words, "mix", lambda x: np.zeros_like(x))  # all hashes are equal
+    base = rng.integers(97, 99, R.LEFT + R.LENGTH).astype(np.uint8)
+    rows = []
+    for _ in range(60):
+        own = base.copy()
+        for at in rng.integers(0, len(own), rng.integers(0, 3)):
+            own[at] ^= 3
+        low, high = int(rng.integers(0, R.LEFT)), int(rng.integers(R.LEFT + R.KGRAM, len(own) + 1))
+        rows.append((R.LEFT - low, own[low:high].tobytes()))
+    pieces, rank = R.Pieces(rows), rng.permutation(len(rows))
+    any_copy, later = np.zeros((2, len(rows), R.LEFT + 1), dtype=bool)
+    for before in range(R.LEFT + 1):
+        same = {}
+        for i, (b, piece) in enumerate(rows):
+            if before <= b and b - before + R.LENGTH <= len(piece):
+                same.setdefault(piece[b - before:b - before + R.LENGTH], []).append(i)
+        for who in same.values():
+            any_copy[who, before] = len(who) > 1
+            later[[i for i in who if rank[i] > min(rank[who])], before] = True
+    assert 0 < later.sum() < any_copy.sum() < any_copy.size
+    assert (R.repeated_windows(pieces, rank, False) == any_copy).all()
+    assert (R.repeated_windows(pieces, rank, True) == later).all()
