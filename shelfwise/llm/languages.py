@@ -4,8 +4,11 @@ Two gated recurrent layers read segments of SEGMENT bytes, one forwards and one
 backwards. A softmax over both states labels every byte, and a document's
 probabilities are the means over all its bytes; the whole text is read. The
 network is trained in numpy, by backpropagation through time with Adam, on
-windows of a bounded sample: at most about SAMPLE windows for each of at most
-MAX_LANGUAGES languages, drawn by hash from the rows the caller allows.
+windows of a bounded sample: at most about SAMPLE windows for each language,
+drawn by hash from the rows the caller allows, at least one of every language.
+The sample is read PASSES times, in STEPS steps at the least, and a text is in
+none of the languages if its best label has less than half of the probability
+that any window of the sample has for its best.
 Prediction sees the text only.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every
@@ -28,9 +31,9 @@ from shelfwise.llm import words
 SEGMENT = 128
 HIDDEN = 8
 SAMPLE = 500
-MAX_LANGUAGES = 200
 STEPS = 150
 BATCH = 200
+PASSES = 15
 UNKNOWN = "und"
 _f = np.float32
 
@@ -42,6 +45,7 @@ class Network:
         rng = np.random.default_rng(seed)
         h, n = HIDDEN, len(languages)
         self.languages = languages
+        self.least = 0.0  # the best label's probability below which a text is in none of the languages
         self.p = {
             "x": (rng.standard_normal((2, 256, 3 * h)) * 0.3).astype(_f),
             "u": (rng.standard_normal((2, h, 3 * h)) / np.sqrt(h)).astype(_f),
@@ -128,14 +132,15 @@ class Network:
                 g["x"][d, :, k] = np.bincount(seen, own[:, k], 256)
         return g
 
-    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, steps: int = STEPS, rate: float = 0.02) -> None:
+    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, steps: int | None = None, rate: float = 0.02) -> None:
+        steps = max(STEPS, -(-PASSES * len(label) // BATCH)) if steps is None else steps
         rng = np.random.default_rng(2)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         order = np.zeros(0, dtype=np.int64)
         for step in range(1, steps + 1):
             if len(order) < min(BATCH, len(label)):
-                order = rng.permutation(len(label))
+                order = np.concatenate([order, rng.permutation(len(label))])
             pick, order = order[:BATCH], order[BATCH:]
             g = self.gradients(data[:, pick], keep[:, pick], label[pick])
             now = rate * (1 - 0.9 * step / steps)
@@ -174,17 +179,19 @@ def pooled(network: Network, column: pa.Array) -> np.ndarray:
 
 def _sampled(labelled: DataFrame, per_language: int) -> list:
     """Hash-drawn windows (text, lang), about ``per_language`` of each language."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    h = F.xxhash64("doc_id", "text", F.lit(11))
+    rank = F.pmod(h, F.lit(1 << 30))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least")).collect()
     if not counts:
         return []
     spark = labelled.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in counts], "lang string, share double")
-    h = F.xxhash64("doc_id", "text", F.lit(11))
+    shares = spark.createDataFrame(
+        [(r["lang"], max(per_language / r["n"] * (1 << 30), r["least"] + 1.0)) for r in counts], "lang string, below double")
     at = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.length("text") - SEGMENT, F.lit(0)) + 1).cast("int")
-    drawn = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(h, F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(rank < F.col("below"))
     window = F.expr(f"substring(text, _at + 1, {SEGMENT})")
     picked = drawn.withColumn("_at", at).select(window.alias("text"), "lang", h.alias("h"))
-    return picked.orderBy("h", "text", "lang").limit(2 * per_language * len(counts)).collect()
+    return picked.distinct().orderBy("h", "text", "lang").collect()  # a repeated row teaches once
 
 
 def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE) -> Network | None:
@@ -199,6 +206,8 @@ def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE) -> Netw
     bytes_, keep, doc = segments(data, offsets)
     label = np.array([languages.index(r["lang"]) for r in rows])[doc]
     network.train(bytes_, keep, label)
+    # Half of what the least certain window of the sample has.
+    network.least = 0.5 * float(pooled(network, pa.array([r["text"] for r in rows], pa.string())).max(axis=1).min())
     return network
 
 
@@ -230,7 +239,13 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
     return rows.mapInArrow(_predictor(network), f"{schema}, lang_pred string, score double")
 
 
-def accepted(documents: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
-    """``documents`` in a language: texts that are ``und`` go, and those whose best label has less than ``least``."""
-    labelled = predict(documents, network).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return labelled.select(*documents.columns)
+def accepted(documents: DataFrame, network: Network | None) -> DataFrame:
+    """``documents`` in a language: texts without a letter go, and those whose best label has less than ``network.least``.
+
+    Without a network all texts with a letter stay.
+    """
+    network = Network(["any"]) if network is None else network
+    kept = documents.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"})
+    found = predict(kept, network).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= network.least))
+    own = found.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    return own.select(*documents.columns)

@@ -164,3 +164,24 @@ def test_language_model_of_awkward_rows(spark):
     nothing = L.score_documents(df, F.lit(False)).collect()
     assert len(nothing) == df.count() and {r.train_tokens for r in nothing} == {0} and {r.n_known for r in nothing} == {0}
     assert L.score_documents(common.empty(spark), F.lit(True)).collect() == []
+
+
+def test_every_language_and_window_is_learned(spark, monkeypatch):
+    rows = [(i, f"text {i} " * 3, f"l{i % 210:03}") for i in range(630)]
+    net = I.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 1)
+    assert net.languages == [f"l{i:03}" for i in range(210)]
+    read = Counter()
+    net = I.Network(["a"])
+    monkeypatch.setattr(I.Network, "gradients", lambda self, data, keep, label: read.update(label.tolist()) or {k: np.zeros_like(v) for k, v in self.p.items()})
+    n = 50_030
+    net.train(np.zeros((1, n), np.uint8), np.ones((1, n), bool), np.arange(n))
+    assert len(read) == n and min(read.values()) >= I.PASSES - 1
+
+
+def test_accepted_documents_are_as_they_were(spark):
+    df = common.frame(spark)
+    letters = {r.doc_id for r in df.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in I.accepted(df, None).collect()} == letters
+    kept = I.accepted(df, I.Network([str(i) for i in range(50)]))  # nothing learned, no label has 0.3
+    assert {r.doc_id for r in kept.collect()} == letters
+    assert kept.schema == df.schema and {r.score for r in kept.collect()} == {"x"}
