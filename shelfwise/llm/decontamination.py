@@ -7,9 +7,10 @@ sequence of word numbers, and each text is scanned once. The automaton reports
 at which word a window ends, and words know their place in the original text,
 so hits come back as code-point offsets of it.
 
-The benchmark is read by the driver in blocks of at most BLOCK_WORDS words,
-which bounds the broadcast and the automaton; one block is one scan, so a
-larger benchmark takes more scans and no more memory.
+The benchmark is read by the driver in blocks of about BLOCK_WORDS words, one
+after the other: a block is collected, broadcast, scanned for, what it found is
+written, and the broadcast is released before the next one. So a larger
+benchmark takes more scans and no more memory. With one block nothing is written.
 
 Null texts and texts without words have no hits; null or wordless items match
 nothing. An item without id marks words but is not listed. Items listed twice
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.sources.storage import written
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 
@@ -123,16 +126,17 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.append_column("spans", pa.array(spans, span))
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
-    """The benchmark's distinct items in blocks of bounded words."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, and the benchmark's distinct items in blocks of bounded words, each collected when it is asked for."""
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     items = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null").distinct().withColumn("n", size)
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = 1 if total <= block_words else -(-2 * total // block_words)
-    if parts == 1:
-        return [[(r[0], r[1]) for r in items.select("item_id", "text").collect()]]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [[(r[0], r[1]) for r in items.filter(part == p).select("item_id", "text").collect()] for p in range(parts)]
+    if parts > 1:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+        items = written(items.withColumn("part", part).repartitionByRange("part").sortWithinPartitions("part"), "benchmark")
+    of = lambda p: items if parts == 1 else items.filter(F.col("part") == p)
+    return parts, ([(r[0], r[1]) for r in of(p).select("item_id", "text").collect()] for p in range(parts))
 
 
 def contaminated_words(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -144,20 +148,26 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, block_words:
     kept = documents.drop("n_words", "hits", "items", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + (
         ", n_words long, hits array<struct<first: long, after: long>>, items array<string>, spans array<struct<start: long, end: long>>")
-    blocks = _blocks(benchmark, block_words)
-    if len(blocks) == 1:
-        return kept.mapInArrow(_scanner(spark.sparkContext.broadcast(blocks[0])), schema)
-    # Rows are told apart by a number while the findings of all blocks are put together.
-    numbered = kept.withColumn("__row", F.monotonically_increasing_id())
-    found = None
+    parts, blocks = _blocks(benchmark, block_words)
+    if parts == 1:
+        return kept.mapInArrow(_scanner(spark.sparkContext.broadcast(next(blocks))), schema)
+    # Rows are told apart by a number, fixed by writing them, while the findings of all blocks are put together.
+    numbered = written(kept.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    of_row = schema.replace(", n_words", ", __row long, n_words", 1)
+    rows, found = None, None
     for b in blocks:
-        part = numbered.mapInArrow(_scanner(spark.sparkContext.broadcast(b)), schema.replace(", n_words", ", __row long, n_words", 1))
+        shared = spark.sparkContext.broadcast(b)
+        part = numbered.mapInArrow(_scanner(shared), of_row)
+        # The first scan counts the words of all rows, the others tell of hits only.
+        part = part.select("__row", "n_words", "hits", "items") if rows is None else part.filter(F.size("hits") > 0).select("__row", "hits", "items")
+        part = written(part, "found")
+        shared.destroy()
+        rows, part = (part.select("__row", "n_words"), part.drop("n_words")) if rows is None else (rows, part)
         found = part if found is None else found.unionByName(part)
-    names = kept.columns
-    together = found.groupBy("__row").agg(
-        *[F.first(f"`{c}`").alias(c) for c in names], F.first("n_words").alias("n_words"),
+    merged = found.groupBy("__row").agg(
         _merged("hits", "first", "after"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return together.drop("__row").mapInArrow(_placed, schema)
+    together = numbered.join(rows, "__row").join(merged, "__row")
+    return together.drop("__row").select(*kept.columns, "n_words", "hits", "items").mapInArrow(_placed, schema)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

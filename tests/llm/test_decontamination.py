@@ -51,3 +51,28 @@ def test_awkward_and_empty(spark):
     assert all(not r.hits for r in D.contaminated_words(df, bench.filter("false")).collect())
     assert D.clean(df, bench.filter("false")).columns == df.columns
     assert D.clean(df, bench.filter("false")).count() == df.count()
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    texts, items = case()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    open_now, most, blocks = [], [], []
+    sc = type(spark.sparkContext)
+    plain = sc.broadcast
+
+    def broadcast(self, value):
+        out = plain(self, value)
+        open_now.append(out)
+        blocks.append(value)
+        most.append(len(open_now))
+        closes = out.destroy
+        out.destroy = lambda *a: (open_now.remove(out), closes(*a))
+        return out
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    parts, lazy = D._blocks(bench, 30)
+    assert parts > 1 and iter(lazy) is lazy
+    found = D.contaminated_words(common.frame(spark, texts), bench, 30)
+    assert len(blocks) == parts and most == [1] * parts and not open_now
+    want = {(i, str(x)) for i, t in enumerate(texts) for x in brute(t, items)[2]}
+    assert want and {(r.doc_id, x) for r in found.collect() for x in r.items} == want
