@@ -12,8 +12,9 @@ A document's score is a logistic function, fitted on the same sample, of the sum
 of its marginals from NOTABLE on, their share of the words, and the largest. Runs of words with a marginal of a half
 or more come back as spans of code points.
 
-Learning takes at most about SAMPLE documents of each label, a window of
-WINDOW_CHARS of each, drawn by hash from the rows the caller allows. A null or
+Learning takes at most about SAMPLE documents of each label, the whole text of
+each, drawn by hash from the rows the caller allows, and all chains with a word
+labelled toxic. A null or
 empty text scores 0, as does every text when no toxic document can be learned
 from. Null labels teach nothing; a document labelled twice counts by its
 highest label. Repeated rows get a row each; a null ``doc_id`` is kept. Empty
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from shelfwise.llm import words
 
 SAMPLE = 1500
-WINDOW_CHARS = 20_000
 CHAIN = 128
 NOTABLE = 0.05
 STEMS = (4, 6, 8)
@@ -192,9 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = SA
     h = F.xxhash64("doc_id", F.lit(21))
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(counts.get(1, 0), 1))).otherwise(min(1.0, sample / max(counts.get(0, 0), 1)))
     drawn = marks.filter(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).orderBy(h, "doc_id").limit(4 * sample)
-    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1).cast("int")
-    rows = (documents.filter(F.length("text") > 0).join(F.broadcast(drawn), "doc_id").withColumn("_at", at)
-            .select(F.expr(f"substring(text, _at + 1, {WINDOW_CHARS})").alias("text"), "toxic", "doc_id")
+    rows = (documents.filter(F.length("text") > 0).join(F.broadcast(drawn), "doc_id").select("text", "toxic", "doc_id")
             .orderBy(F.xxhash64("doc_id"), "text").limit(4 * sample).collect())
     toxic = np.array([r["toxic"] == 1 for r in rows], dtype=bool)
     if not toxic.any():

@@ -185,3 +185,21 @@ def test_accepted_documents_are_as_they_were(spark):
     kept = I.accepted(df, I.Network([str(i) for i in range(50)]))  # nothing learned, no label has 0.3
     assert {r.doc_id for r in kept.collect()} == letters
     assert kept.schema == df.schema and {r.score for r in kept.collect()} == {"x"}
+
+
+def test_toxic_span_at_the_end_of_a_long_document_teaches(spark):
+    rng = random.Random(6)
+
+    def text(toxic):
+        end = " ".join(f"{common.prose(rng, 2)} {rng.choice(['vile', 'rotten'])}" for _ in range(4)) if toxic else ""
+        return f"{common.prose(rng, 9000)} {end} {common.prose(rng, 3)}"
+
+    marks = [i % 3 == 0 for i in range(36)]
+    df = common.frame(spark, [text(m) for m in marks])
+    assert df.selectExpr("min(length(text))").first()[0] > 40_000
+    labels = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks) if i < 30], "doc_id long, toxic int")
+    model = X.fit(df, labels, F.lit(True))
+    assert model is not None
+    rows = {r.doc_id: r for r in X.score(df, model).collect()}
+    assert [rows[i].score >= 0.5 for i in range(30, 36)] == marks[30:]
+    assert all(len(rows[i].spans) >= 4 for i in (30, 33))
