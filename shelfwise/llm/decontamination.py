@@ -172,7 +172,10 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, block_words:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` in which no benchmark item has a window."""
-    return contaminated_words(documents, benchmark).filter(F.size("hits") == 0).select(*documents.columns)
+    own = [c for c in ("n_words", "hits", "items", "spans") if c in documents.columns]
+    kept = documents.withColumnsRenamed({c: f"__{c}" for c in own})
+    found = contaminated_words(kept, benchmark).filter(F.size("hits") == 0).select(*kept.columns)
+    return found.withColumnsRenamed({f"__{c}": c for c in own})
 
 
 def _merged(name: str, a: str, b: str):

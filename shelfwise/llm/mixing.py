@@ -75,5 +75,8 @@ def with_copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """Every document as often as the mix takes it, with the columns it came with."""
-    taken = with_copies(documents, weights, cap, seed).filter("copies > 0")
-    return taken.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    own = [c for c in ("size", "source_size", "target", "copies") if c in documents.columns]
+    kept = documents.withColumnsRenamed({c: f"__{c}" for c in own})
+    taken = with_copies(kept, weights, cap, seed).filter("copies > 0")
+    repeated = taken.select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return repeated.withColumnsRenamed({f"__{c}": c for c in own})

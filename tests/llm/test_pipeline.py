@@ -1,5 +1,9 @@
+import hashlib
+from collections import Counter
+
 import corpus_pipeline
-from llm import common
+import pyarrow as pa
+from llm import common, test_decontamination, test_near_duplicates, test_sharding_and_mixing
 from pyspark.sql import functions as F
 
 
@@ -36,3 +40,57 @@ def test_clean_documents_stay(spark):
     assert minhash.without_near_duplicates(clean).count() == 40
     assert decontamination.clean(clean, bench).count() == 40
     assert languages.accepted(clean, languages.fit(clean, F.lit(True), 30)).count() == 40
+
+
+def brute_languages(spark, docs, rows, items):
+    from shelfwise.llm import languages
+
+    net = languages.fit(docs, F.lit(True))
+    text = lambda r: r.text or ""
+    return [r for r in rows if any(c.isalpha() for c in text(r)) and languages.pooled(net, pa.array([r.text])).max() >= net.least]
+
+
+def brute_near(spark, docs, rows, items):
+    found = test_near_duplicates.brute([r.doc_id for r in rows], [r.text for r in rows])
+    return [r for r, (doc, n, component) in zip(rows, found, strict=True) if n == 0 or doc == component]
+
+
+def brute_clean(spark, docs, rows, items):
+    return [r for r in rows if not test_decontamination.brute(r.text, items)[1]]
+
+
+def brute_mix(spark, docs, rows, items):
+    sizes, words = Counter(), lambda r: len(common.SPACED.findall(r.text or ""))
+    for r in rows:
+        sizes[r.source] += words(r)
+    goal = test_sharding_and_mixing.targets(dict(sizes))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    out = []
+    for r in rows:
+        rate = goal[r.source] / sizes[r.source] if sizes[r.source] else 0.0
+        drawn = int(md5(f"7|{r.doc_id}|{md5(r.text or '')}")[:13], 16) / 2**52
+        out += [r] * (int(rate) + (drawn < rate - int(rate)))
+    return out
+
+
+def test_every_stage_matches_brute_force_on_its_input(spark, tmp_path):
+    texts, items = test_decontamination.case()
+    folder = str(tmp_path)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = common.frame(spark, texts, [(i * 37) % 1009 - 300 for i in range(len(texts))])
+    counts = [len(texts)]
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, [brute_languages, brute_near, brute_clean, brute_mix]):
+        rows = docs.collect()
+        want = Counter(brute(spark, docs, rows, items))
+        got = stage(spark, docs, folder)
+        assert got.dtypes == docs.dtypes, name
+        assert Counter(got.collect()) == want, name
+        counts.append(sum(want.values()))
+        docs = spark.createDataFrame(got.collect(), got.schema)
+    assert counts[0] > counts[1] > counts[2] > counts[3] > 20 and counts[4] > 20
+    name, stage = corpus_pipeline.STAGES[4]
+    rows, out = docs.collect(), stage(spark, docs, folder).collect()
+    plain = lambda rs: Counter((r.doc_id, r.text, r.lang, r.source) for r in rs)
+    assert name == "sharding" and plain(out) == plain(rows)
+    test_sharding_and_mixing.check_shards(
+        [(r.doc_id, 16 + len((r.text or "").encode()), r.shard, r.slot) for r in out], corpus_pipeline.SHARDS)
