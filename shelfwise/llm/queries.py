@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontamination, language_model, languages, licenses, minhash, mixing, repeats, sharding, spotsigs, toxicity
+from shelfwise.llm import (
+    decontamination, language_model, languages, lexical, licenses, merkle, minhash, mixing, repeats, sharding, spotsigs, toxicity, urls,
+)
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -143,3 +145,104 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
+@query(sql=f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ts FROM documents),
+f AS (SELECT r, doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM f),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM f) GROUP BY ALL),
+i AS (SELECT item_id, t, count(*)::BIGINT AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS t FROM benchmark) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM p, s WHERE t IN (SELECT t FROM i) GROUP BY t, docs),
+x AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+      FROM i JOIN w USING (t) JOIN p USING (t) JOIN f USING (r), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0) WHERE rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+_MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    of = lambda c: f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+    return f"sha256({' || '.join(of(n_chars if c == 'n_chars' else c) for c in _MANIFEST)})"
+
+
+# CRC-32 of the decimal id, bit by bit: a byte is XORed in, then eight times a bit is shifted out.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1),
+  lambda k: [ascii((doc_id::VARCHAR)[k])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+@query(sql=f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS given,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c,
+    row_number() OVER () AS r
+  FROM documents
+), lv(level, g, i, c, h) AS (
+  SELECT 0, g, i, c, leaf FROM d UNION ALL
+  SELECT level + 1, g, i // 2, (c + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE c > 1 GROUP BY level, g, i // 2, c
+), sub AS (SELECT g, h AS subroot FROM lv WHERE c = 1),
+tv(level, i, c, h) AS (
+  SELECT 0, g, count(*) OVER (), subroot FROM sub UNION ALL
+  SELECT level + 1, i // 2, (c + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tv WHERE c > 1 GROUP BY level, i // 2, c
+), steps AS (
+  SELECT r, n.level AS step, n.i % 2 AS odd, s.h FROM d JOIN lv n ON n.g = d.g AND n.i = d.i >> n.level AND n.c > 1
+  LEFT JOIN lv s ON s.g = n.g AND s.level = n.level AND s.i = xor(n.i, 1)
+  UNION ALL
+  SELECT r, 1000 + n.level, n.i % 2, s.h FROM d JOIN tv n ON n.i = d.g >> n.level AND n.c > 1
+  LEFT JOIN tv s ON s.level = n.level AND s.i = xor(n.i, 1)
+), path AS (
+  SELECT r, string_agg(coalesce(h, ''), '' ORDER BY step) AS siblings,
+    list(CASE WHEN h IS NULL THEN '' WHEN odd = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY step) AS steps FROM steps GROUP BY r
+), f AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM tv WHERE c = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(given, coalesce(steps, [])), lambda a, x:
+      sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a WHEN x[1] = 'R' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM d JOIN sub USING (g) LEFT JOIN path USING (r)
+)
+SELECT *, folded_root = root AS verified FROM f""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*_MANIFEST)
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in _MANIFEST]
+    tampered = F.when(F.col("doc_id").isNotNull() & (_fold(7) == 0), merkle.leaf(*changed))
+    made = merkle.build(docs.withColumn("tampered", tampered), F.col("lang"), F.col("doc_id"),
+                        merkle.leaf(*map(F.col, _MANIFEST)), ["doc_id", "tampered"])
+    root = F.lit(made.root).cast("string")
+    out = made.leaves.select(
+        "doc_id", merkle.hexed("leaf").alias("leaf"), merkle.hexed("subroot").alias("subroot"), root.alias("root"),
+        F.sha2(merkle.proof(), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_SITES = (
+    urls.site("org/", urls.ALLOW), urls.site("example.org/es/", urls.BLOCK), urls.site("example.org/en/1", urls.BLOCK),
+    urls.site("com/fr/", urls.ALLOW), urls.site("com/de/", urls.BLOCK))
+# Where no site rule holds: hosts named so, and files that are not text.
+_GLOBS = tuple(urls.Rule(g, g, urls.BLOCK) for g in ("*adult**", "*spam**", "*/**.exe", "*/**.jpg", "*/**.pdf", "*/**.png", "*/**.zip"))
+
+
+@query(sql="""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS r FROM pages
+), s(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT r, arg_max(h || p, strlen(h || p)) AS rule, arg_max(v, strlen(h || p)) AS v
+      FROM u JOIN s ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN v
+  WHEN contains(host, 'adult') OR contains(host, 'spam') OR host = '' THEN 'block'
+  WHEN regexp_matches(path, '(?s)^/.*[.](exe|jpg|pdf|png|zip)$') THEN 'block' ELSE 'allow' END AS verdict
+FROM u LEFT JOIN m USING (r)""")
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), _SITES, _GLOBS).drop("url")
