@@ -204,7 +204,8 @@ ORDER BY total DESC, dt LIMIT 15""", dates="dt"))(
 
 EVENT_DAYS = oracle(f"""
 SELECT dt, {r4("avg(activity_flag)")} AS activity_rate, {r4("avg(holiday_flag)")} AS holiday_rate,
-       {r4("avg(discount)")} AS average_discount, {r4("avg(sale_amount)")} AS average_sales
+       {r4("CAST(sum(CAST(discount AS DECIMAL(18,2))) AS DOUBLE) / count(discount)")} AS average_discount,
+       {r4("avg(sale_amount)")} AS average_sales
 FROM train WHERE activity_flag = 1 OR holiday_flag = 1 GROUP BY dt""", dates="dt")
 query("event_days_summary", EVENT_DAYS)(lambda s, d: a.event_days_summary(inputs.train(s, d)))
 

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracle import TABLES, kind, normal
+from shelfwise import registry
 
 SAMPLE = """
 network_summary daily_network trailing_calendar_mean percent_of_total stockout_bands top_cv_series
@@ -34,7 +35,7 @@ def db(sf_dir):
 
 
 def test_every_deterministic_query_has_an_oracle():
-    without = {n for n in entry_points.queries() if n not in ORACLES}
+    without = {n for n in registry.QUERIES if n not in ORACLES}
     assert without == {"train_gbt", "train_gbt_v1", "train_gbt_v2", "train_gbt_v3", "ablation", "holdout_evaluation",
                        "predict_clip", "next_day_forecast_gbt", "model_registry"}
     assert set(SAMPLE) <= set(ORACLES)
