@@ -65,6 +65,42 @@ def with_running_total(placed: DataFrame, amount: Column, name: str, kind: str =
     return started.select(*placed.columns, (F.col("_start") + F.sum(amount.cast(kind)).over(inside)).cast(kind).alias(name))
 
 
+BINS = 1024
+
+
+def first_rows(df: DataFrame, order: Sequence[tuple[Column, bool]], k: int) -> Column:
+    """The condition that the first ``k`` rows of ``df`` meet in an order of (finite number, descending) pairs.
+
+    Nothing is sorted or moved. The k-th value is found by counting values in
+    bins between the smallest and the largest candidate, and counting again
+    inside the bin it lies in, until that holds one value; rows equal to it are
+    cut by the next column. A pass sees at most BINS counts. The columns must
+    tell all rows apart.
+    """
+    if k <= 0:
+        return F.lit(False)
+    before, same = F.lit(False), F.lit(True)
+    for column, descending in order:
+        v = -column if descending else column
+        own = df.filter(same)
+        lo, hi, n = own.agg(F.min(v), F.max(v), F.count(v)).first()
+        if n <= k:
+            return before | same
+        while lo != hi and n != k:
+            at = ((v - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * BINS).cast("int")
+            bins = own.filter(v.between(lo, hi)).groupBy(F.least(at, F.lit(BINS - 1)).alias("bin")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
+            for b in sorted(bins, key=lambda b: b["bin"]):
+                if b["n"] >= k:
+                    lo, hi, n = b["lo"], b["hi"], b["n"]
+                    break
+                k -= b["n"]
+        if n == k:
+            return before | (same & (v <= F.lit(hi)))
+        before, same = before | (same & (v < F.lit(lo))), same & (v == F.lit(lo))
+    raise ValueError("the order does not tell all rows apart")
+
+
 def with_grand_total(df: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """Attach one-row aggregates of ``df`` to all its rows (AGG() OVER ())."""
     one_row = df.agg(*[c.alias(n) for n, c in totals.items()])

@@ -12,10 +12,11 @@ import math
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise import schemas
 from shelfwise.operators import compare, gates
@@ -40,6 +41,7 @@ class Settings:
     seed: int = 42
     future_holiday_flag: int = 0
     regenerate_scenario: bool = False
+    abandoned_after_hours: float = 24.0
     weights: Mapping[str, float] = field(default_factory=lambda: dict(decisions.WEIGHTS))
     boosting: boosting.Boosting = boosting.Boosting()
 
@@ -84,10 +86,26 @@ def audit_state(spark: SparkSession, base: str) -> DataFrame:
     return tables.latest_state(events, ["run_id", "stage"], ["ts"], ["status", "details"])
 
 
+def close_abandoned(run: Run) -> list[str]:
+    """Log the failure of runs and stages that have been running since before the cutoff; returns those runs."""
+    if not tables.path_exists(run.spark, f"{run.base}/audit"):
+        return []
+    state = audit_state(run.spark, run.base)
+    cutoff = datetime.now(timezone.utc) - timedelta(hours=run.settings.abandoned_after_hours)
+    closed = tables.close_abandoned(state.withColumn("was", F.col("status")), "status", "running", cutoff.isoformat())
+    late = closed.filter("was = 'running' AND status = 'failed'").select("run_id", "stage", "status").withColumns({
+        "ts": F.lit(datetime.now(timezone.utc)), "details": F.lit(json.dumps({"error": "abandoned"}))})
+    found = sorted({r["run_id"] for r in late.select("run_id").distinct().collect()})  # runs, not rows of tables
+    if found:
+        late.select(*[f.name for f in schemas.RUN_EVENT]).write.mode("append").parquet(f"{run.base}/audit")
+    return found
+
+
 def ingest(run: Run, sources: Mapping[str, str], details: dict) -> DataFrame:
     """Load new sources; refuse a source whose content changed since its first load."""
     spark, raw_path, registry_path = run.spark, f"{run.base}/raw", f"{run.base}/source_registry"
-    cols = [F.col(f.name) for f in schemas.SOURCE_RETAIL_DAILY]
+    names = [f.name for f in schemas.SOURCE_RETAIL_DAILY]
+    cols = [F.col(n) for n in names]
     for name, path in sources.items():
         rows = spark.read.schema(schemas.SOURCE_RETAIL_DAILY).parquet(path).withColumn("source_file", F.lit(name))
         now = compare.table_fingerprint(rows, ["source_file"], cols)
@@ -98,9 +116,15 @@ def ingest(run: Run, sources: Mapping[str, str], details: dict) -> DataFrame:
         status = compare.registry_changes(known, now).first()["status"]
         if status in ("changed", "missing"):
             raise ValueError(f"{name} is {status} since it was first loaded")
-        if not tables.already_loaded(spark, raw_path, name):
+        have = known.select("row_count").first()
+        if not tables.already_loaded(spark, raw_path, name, have["row_count"] if have else None):
             tables.ingest(spark, path, name, raw_path)
         if status == "new":
+            # What is registered is what was stored, row for row, also when the raw rows are from a run that was lost.
+            loaded = tables.read_raw(spark, raw_path).filter(F.col("source_file") == name)
+            different = compare.bag_difference(loaded, rows, names).agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+            if different:
+                raise ValueError(f"{name}: {different} rows differ between source and raw layer")
             now.select(*[f.name for f in schemas.SOURCE_REGISTRY]).write.mode("append").parquet(registry_path)
         details[name] = "loaded" if status == "new" else "reused"
     return tables.read_raw(spark, raw_path)
@@ -110,25 +134,22 @@ def build_warehouse(run: Run, raw: DataFrame, details: dict) -> dict[str, DataFr
     shape = profiling.array_shapes(raw).filter("length <> 24").agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_with_bad_arrays"))
     gates.require(gates.unpivot_counts(shape))
-    stage = run.table("staging", warehouse.staging(raw))
-    layers = {
-        "staging": stage,
-        "dim_product": run.table("dim_product", warehouse.dim_product(stage)),
-        "dim_store": run.table("dim_store", warehouse.dim_store(stage)),
-        "dim_date": run.table("dim_date", warehouse.dim_date(stage)),
-        "bridge_store_group": run.table("bridge_store_group", warehouse.bridge_store_group(stage)),
-        "fact": run.table("fact", warehouse.fact(stage)),
-        "features": run.table("features", features.features_v3(stage)),
-    }
-    rows = stage.count()
-    expected = {"rows": raw.count(), **{k: layers[f"dim_{n}"].count() for k, n in (
-        ("products", "product"), ("stores", "store"), ("dates", "date"))}}
-    gates.require(gates.all_of([
-        warehouse.warehouse_gates(stage, expected),
-        gates.row_count_gate(layers["features"], "feature_rows", rows),
-    ]))
-    details["rows"] = rows
-    return layers
+    registry = run.spark.read.schema(schemas.SOURCE_REGISTRY).parquet(f"{run.base}/source_registry")
+    rows = registry.agg(F.sum("row_count")).first()[0]
+    expected = {"rows": rows, **{k: raw.select(c).distinct().count() for k, c in (
+        ("products", "product_id"), ("stores", "store_id"), ("dates", "dt"))}}
+    shapes: dict[str, StructType] = {}
+
+    def with_features(t: Mapping[str, DataFrame]) -> DataFrame:
+        made = features.features_v3(t["staging"])
+        shapes["features"] = made.schema
+        return made
+
+    made = warehouse.build(
+        run.spark, f"{run.base}/warehouse", warehouse.staging(raw), expected, {"features": with_features},
+        lambda t: gates.row_count_gate(t["features"], "feature_rows", rows))
+    details.update(rows=rows, version=made.number)
+    return {n: made.read(n, schema) for n, schema in (warehouse.LAYER_SCHEMAS | shapes).items()}
 
 
 def build_scenario(run: Run, fact: DataFrame, details: dict) -> dict[str, DataFrame]:
@@ -188,6 +209,7 @@ def publish(run: Run, layers: dict[str, DataFrame], forecast: DataFrame, details
 
 def run(spark: SparkSession, sources: Mapping[str, str], base: str, run_id: str, settings: Settings) -> None:
     r = Run(spark, base, run_id, settings)
+    close_abandoned(r)
     r.log("run", "running", asdict(settings))
     try:
         with r.stage("ingest") as details:

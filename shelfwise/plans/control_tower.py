@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise.operators import gates
 from shelfwise.plans import decisions
 from shelfwise.schemas import DECISION_KEY, SERIES_KEY
+from shelfwise.sources import versions
 
 CONTROL_TOWER = [
     *DECISION_KEY, "expected_daily_demand", "demand_std", "on_hand_quantity", "on_order_quantity",
@@ -75,8 +77,8 @@ def status_column() -> Column:
     )
 
 
-def action_column() -> Column:
-    status = F.col("control_tower_status")
+def action_column(status: Column | None = None) -> Column:
+    status = F.col("control_tower_status") if status is None else status
     stuck = status == "CONSTRAINED - ESCALATE"
     action = F.when(stuck & F.col("urgency_band").isin("CRITICAL", "HIGH"), URGENT_CONSTRAINT_ACTION)
     action = action.when(stuck, CONSTRAINT_ACTION)
@@ -97,15 +99,24 @@ def reclassify(tower: DataFrame) -> DataFrame:
     return rows.withColumn("recommended_action", action_column())
 
 
+def correct_classification(spark: SparkSession, base: str, table: str, schema: StructType) -> versions.Snapshot:
+    """Correct status and action of a published mart where they are wrong; amounts and right rows stay untouched."""
+    status = status_column()
+    action = action_column(status)
+    wrong = ~F.col("control_tower_status").eqNullSafe(status) | ~F.col("recommended_action").eqNullSafe(action)
+    return versions.update(spark, base, table, schema, wrong, {"control_tower_status": status, "recommended_action": action})
+
+
 def lineage_gate(tower: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Decisions whose demand is the floored prediction of their own forecast row."""
+    """Decisions whose demand is the floored prediction of their own forecast row, made by the model they name."""
     f = forecast.select(
         *SERIES_KEY, F.col("run_id").alias("forecast_run_id"),
-        F.col("target_date").alias("forecast_target_date"), "prediction",
+        F.col("target_date").alias("forecast_target_date"), "prediction", F.col("model_id").alias("_model"),
     )
     joined = tower.join(f, [*SERIES_KEY, "forecast_run_id", "forecast_target_date"])
-    same = F.abs(F.col("expected_daily_demand")
-                 - F.greatest(F.col("prediction"), F.lit(decisions.DEMAND_FLOOR))) < 1e-8
+    demand = F.abs(F.col("expected_daily_demand")
+                   - F.greatest(F.col("prediction"), F.lit(decisions.DEMAND_FLOOR))) < 1e-8
+    same = demand & F.col("model_id").eqNullSafe(F.col("_model"))
     return joined.agg(F.count(F.lit(1)).alias("joined_rows"), F.count_if(same).alias("lineage_rows"))
 
 

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import (
     coefficient_of_variation,
     four_digits,
-    hash_order_key,
+    hash_order_numbers,
     hash_uniform,
     money,
     round_half_up,
     share,
 )
 from shelfwise.operators import gates
-from shelfwise.operators.ordered import global_rank
+from shelfwise.operators.ordered import first_rows
 from shelfwise.schemas import SERIES_KEY
 
 PACKS = [1, 6, 12, 24]  # fixed values
@@ -46,24 +46,19 @@ def sample_series(profiles: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Exactly ``size`` series: a quarter by volume, a quarter of the rest by
     variability, the remainder by hash order.
 
-    Large quarters rule out a limit (one reducer), so each stratum is a global
-    distributed rank and a filter on it.
+    Every stratum is a condition on the row, found by counting values, so
+    ``profiles``, a written table, is neither sorted nor moved.
     """
-    key = [F.col(k) for k in SERIES_KEY]
+    key = [(F.col(k), False) for k in SERIES_KEY]
     quarter = size // 4
-    by_volume = global_rank(profiles, [F.desc("mean_daily_demand"), *key], "_volume")
-    rest = by_volume.filter(F.col("_volume") > quarter)
-    by_cv = global_rank(rest, [F.desc_nulls_last("cv"), *key], "_cv")
-    tail = by_cv.filter(F.col("_cv") > quarter)
-    draw = hash_order_key("sample", *key, seed=seed)
-    by_hash = global_rank(tail.withColumn("_draw", draw), [F.col("_draw"), *key], "_hash")
-    cols = profiles.columns
-    parts = [
-        by_volume.filter(F.col("_volume") <= quarter).select(*cols, F.lit("high_volume").alias("stratum")),
-        by_cv.filter(F.col("_cv") <= quarter).select(*cols, F.lit("high_variability").alias("stratum")),
-        by_hash.filter(F.col("_hash") <= size - 2 * quarter).select(*cols, F.lit("sampled").alias("stratum")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    volume = first_rows(profiles, [(F.col("mean_daily_demand"), True), *key], quarter)
+    rest = profiles.filter(~volume)
+    cv = [(F.col("cv").isNull().cast("int"), False), (F.coalesce("cv", F.lit(0.0)), True)]
+    variability = first_rows(rest, [*cv, *key], quarter)
+    draws = [(c, False) for c in hash_order_numbers("sample", *[c for c, _ in key], seed=seed)]
+    drawn = first_rows(rest.filter(~variability), [*draws, *key], size - 2 * quarter)
+    stratum = F.when(volume, "high_volume").when(variability, "high_variability").when(drawn, "sampled")
+    return profiles.withColumn("stratum", stratum).filter("stratum IS NOT NULL")
 
 
 def not_selected(profiles: DataFrame, selected: DataFrame) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import iso_weekday
 from shelfwise.operators import gates
-from shelfwise.schemas import DAILY_KEY, FACT_DAILY_DEMAND, STAGING_RETAIL_DAILY
+from shelfwise.schemas import (
+    BRIDGE_STORE_GROUP,
+    DAILY_KEY,
+    DIM_DATE,
+    DIM_PRODUCT,
+    DIM_STORE,
+    FACT_DAILY_DEMAND,
+    STAGING_RETAIL_DAILY,
+)
+from shelfwise.sources import versions
 
 MIXED_GROUPS = -1  # fixed value: a store served by several management groups
 
@@ -99,27 +108,67 @@ def staging_rules() -> dict:
     }
 
 
-def warehouse_gates(stage: DataFrame, expected: Mapping[str, int]) -> DataFrame:
-    """All warehouse checks as one table (check, actual, expected, ok).
+# Layer tables and the names of their row counts in the gates.
+LAYERS = {"staging": "staging_rows", "fact": "fact_rows", "dim_product": "product_rows", "dim_store": "store_rows", "dim_date": "date_rows"}
 
-    Null and rule counts share one pass over the rows. ``stage`` should be a
-    written table, as every check reads it with its own columns.
-    """
-    products, stores, dates = dim_product(stage), dim_store(stage), dim_date(stage)
-    rows = fact(stage)
-    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in stage.columns])
+
+def watched() -> dict[str, dict[str, Column]]:
+    """What is counted while each layer is written: its rows; nulls and broken rules of staging."""
+    names = [f.name for f in STAGING_RETAIL_DAILY]
+    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in names])
     rules = {n: F.count_if(~F.coalesce(c, F.lit(True))) for n, c in staging_rules().items()}
-    one_pass = {"null_values": nulls, **rules}
+    counts = {layer: {name: F.count(F.lit(1))} for layer, name in LAYERS.items()}
+    return counts | {"staging": counts["staging"] | {"null_values": nulls, **rules}}
+
+
+def stored_gates(stored: Mapping[str, DataFrame], seen: Mapping[str, Mapping[str, int]], expected: Mapping[str, int]) -> DataFrame:
+    """All checks of a written warehouse as one table (check, actual, expected, ok).
+
+    Counts come from the writes, keys and orphans from the stored layers.
+    ``expected`` (rows, products, stores, dates) comes from the source, not from
+    the layers that it is compared with.
+    """
+    rows, stage = stored["fact"], stored["staging"]
+    sizes = {"staging_rows": "rows", "fact_rows": "rows", "product_rows": "products", "store_rows": "stores", "date_rows": "dates"}
+    counts = {n: v for layer in LAYERS for n, v in seen[layer].items()}
     return gates.all_of([
-        gates.row_count_gate(stage, "staging_rows", expected["rows"]),
-        gates.row_count_gate(rows, "fact_rows", expected["rows"]),
-        gates.row_count_gate(products, "product_rows", expected["products"]),
-        gates.row_count_gate(stores, "store_rows", expected["stores"]),
-        gates.row_count_gate(dates, "date_rows", expected["dates"]),
-        gates.unpivot_counts(stage.agg(*[c.alias(n) for n, c in one_pass.items()])),
+        gates.counted(rows.sparkSession, counts, {n: expected[k] for n, k in sizes.items()}),
         gates.unique_key_gate(rows, DAILY_KEY, "duplicate_business_keys"),
-        gates.foreign_key_gate(rows, products, ["product_id"], "orphan_products"),
-        gates.foreign_key_gate(rows, stores, ["store_id"], "orphan_stores"),
-        gates.foreign_key_gate(rows, dates, ["dt"], "orphan_dates"),
+        gates.foreign_key_gate(rows, stored["dim_product"], ["product_id"], "orphan_products"),
+        gates.foreign_key_gate(rows, stored["dim_store"], ["store_id"], "orphan_stores"),
+        gates.foreign_key_gate(rows, stored["dim_date"], ["dt"], "orphan_dates"),
         gates.single_value_gate(stage, "store_id", "city_id", "stores_with_two_cities"),
     ])
+
+
+Stored = Mapping[str, DataFrame]
+LAYER_SCHEMAS = {
+    "staging": STAGING_RETAIL_DAILY, "dim_product": DIM_PRODUCT, "dim_store": DIM_STORE, "dim_date": DIM_DATE,
+    "bridge_store_group": BRIDGE_STORE_GROUP, "fact": FACT_DAILY_DEMAND,
+}
+
+
+def build(
+    spark: SparkSession, base: str, stage: DataFrame, expected: Mapping[str, int],
+    more: Mapping[str, Callable[[Stored], DataFrame]] | None = None,
+    more_checks: Callable[[Stored], DataFrame] | None = None,
+) -> versions.Snapshot:
+    """All derived layers of ``stage`` in one version: none of them changes unless every gate holds.
+
+    ``more`` are further layers made from the stored ones, with ``more_checks`` of their own.
+    """
+    layers = {
+        "staging": stage,
+        "dim_product": lambda t: dim_product(t["staging"]),
+        "dim_store": lambda t: dim_store(t["staging"]),
+        "dim_date": lambda t: dim_date(t["staging"]),
+        "bridge_store_group": lambda t: bridge_store_group(t["staging"]),
+        "fact": lambda t: fact(t["staging"]),
+        **(more or {}),
+    }
+
+    def checks(stored: Stored, seen: Mapping[str, Mapping[str, int]]) -> DataFrame:
+        own = stored_gates(stored, seen, expected)
+        return own.unionByName(more_checks(stored)) if more_checks else own
+
+    return versions.replace(spark, base, layers, checks, watched())

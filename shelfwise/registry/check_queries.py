@@ -10,7 +10,8 @@ from shelfwise.plans import warehouse as w
 from shelfwise.registry import inputs, query
 from shelfwise.registry.oracle import oracle, rounded
 from shelfwise.schemas import DAILY_KEY, STAGING_RETAIL_DAILY
-from shelfwise.sources.storage import written
+from shelfwise.sources import versions
+from shelfwise.sources.storage import new_path, written
 
 FACT_FLOATS = "sale_amount discount precpt avg_temperature avg_humidity avg_wind_level"
 STAGE_COLS = [f.name for f in STAGING_RETAIL_DAILY]
@@ -186,12 +187,23 @@ query("warehouse_gates", oracle(" UNION ALL ".join([
                       ("dates", "dim_date", "dt"))],
     gate_rows([("stores_with_two_cities", "count(*)")],
               "(SELECT 1 FROM raw_rows GROUP BY store_id HAVING count(DISTINCT city_id) > 1)")])))(
-    lambda s, d: w.warehouse_gates(written(inputs.staging(s, d), "staging"), _expected(s, d)))
+    lambda s, d: _warehouse_gates(s, d))
+
+
+def _warehouse_gates(s, d):
+    """The gates as they were stored with the layers they admitted."""
+    built = w.build(s, new_path(s, "warehouse"), inputs.staging(s, d), _expected(s, d))
+    return built.read(versions.GATES, gates.counted(s, {"none": 0}).schema)
+
 
 query("int_safety_cast", oracle(gate_rows(
     [("l_quantity", broken("l_quantity = floor(l_quantity)")),
      ("l_extendedprice", broken("l_extendedprice = floor(l_extendedprice)"))], "lineitem")))(
     lambda s, d: gates.integral_or_null(s.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice"]))
+query("integer_columns", oracle("""
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS l_quantity FROM lineitem"""))(
+    lambda s, d: gates.as_integers(
+        s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"]))
 
 
 # --- profiles ----------------------------------------------------------------
@@ -202,6 +214,11 @@ query("cardinality_profile", oracle(" UNION ALL ".join(
     "FROM raw_rows" for c in _CARD)))(
     lambda s, d: p.cardinality_profile(inputs.raw(s, d), _CARD))
 
+query("cardinality_sketches", oracle(" UNION ALL ".join(
+    f'SELECT source_file, \'{c}\' AS "column", count(DISTINCT {c}) AS distinct_values, TRUE AS within_2_percent, '
+    "TRUE AS merged_as_one_pass FROM raw_rows GROUP BY source_file" for c in _CARD)))(
+    lambda s, d: p.cardinality_sketches(inputs.raw(s, d), _CARD, "source_file", "dt"))
+
 query("duplicate_profile", oracle("""
 SELECT CAST(coalesce(sum(surplus), 0) AS BIGINT) AS exact_duplicate_rows,
        CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_duplicate_keys

@@ -14,7 +14,8 @@ from shelfwise.registry.check_queries import broken, gate_rows
 from shelfwise.registry.decision_oracle import TABLES, allocated, walk
 from shelfwise.registry.oracle import oracle
 from shelfwise.schemas import DECISION_KEY, SERIES_KEY
-from shelfwise.sources.storage import written
+from shelfwise.sources import versions
+from shelfwise.sources.storage import new_path, written
 
 PROFILE_FLOATS = "mean_daily_demand demand_std max_daily_demand avg_stockout_hours zero_sales_fraction cv"
 
@@ -208,8 +209,20 @@ def _enriched(s, d):
 query("left_enrich", oracle(f"SELECT {', '.join(_ENRICHED)} FROM tower", floats(_ENRICHED), "decision_date"))(_enriched)
 _RECLASS = [*DECISION_KEY, "control_tower_status", "recommended_action"]
 query("overwrite_classification", oracle(f"SELECT {', '.join(_RECLASS)} FROM tower", "", "decision_date"))(
-    lambda s, d: ct.reclassify(chain.published(s, d)[1].drop("control_tower_status", "recommended_action"))
-    .select(*_RECLASS))
+    lambda s, d: _corrected(s, d).select(*_RECLASS))
+
+
+def _corrected(s, d):
+    """A stored mart whose classification was lost for one product in seven and is wrong for all orders that cannot be placed."""
+    mart, base = chain.published(s, d)[1], new_path(s, "mart")
+    stuck = F.col("reorder_required") & (F.col("final_recommended_quantity") <= 0)
+    lost = F.col("product_id") % 7 == 0
+    broken_mart = mart.withColumns({
+        "control_tower_status": F.when(lost, F.lit(None).cast("string")).when(stuck, "REORDER - UNFUNDED").otherwise(F.col("control_tower_status")),
+        "recommended_action": F.when(stuck, ct.ACTIONS["REORDER - UNFUNDED"]).otherwise(F.col("recommended_action"))})
+    versions.replace(s, base, {"control_tower": broken_mart})
+    return ct.correct_classification(s, base, "control_tower", mart.schema).read("control_tower", mart.schema)
+
 
 _TOWER_RULES = [
     ("allocation_nonnegative", broken("allocated_quantity >= 0 AND allocated_order_value >= 0")),

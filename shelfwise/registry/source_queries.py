@@ -13,6 +13,7 @@ from shelfwise.plans import forecast as fc
 from shelfwise.registry import chain, inputs, query
 from shelfwise.registry.check_queries import FACT_FLOATS, gate_rows
 from shelfwise.registry.decision_queries import floats
+from shelfwise.registry.forecast_queries import METRICS
 from shelfwise.registry.oracle import oracle
 from shelfwise.sources import tables as t
 from shelfwise.sources.storage import new_path
@@ -69,7 +70,7 @@ def _load_twice(s, d):
             t.ingest(s, files[name], name, raw_path)
         except t.DuplicateLoad:
             refused.append(name)
-    counts = t.source_row_counts(t.read_raw(s, raw_path))
+    counts = t.source_row_counts(s, raw_path)
     return counts.withColumn("reload_refused", F.col("source_file").isin(*refused))
 
 
@@ -79,7 +80,15 @@ FROM raw_rows GROUP BY source_file"""))(_load_twice)
 
 query("source_row_counts", oracle("""
 SELECT source_file, count(*) AS rows, CAST(18 AS INTEGER) AS columns FROM raw_rows GROUP BY source_file"""))(
-    lambda s, d: t.source_row_counts(inputs.staging(s, d)))
+    lambda s, d: _stored_counts(s, d))
+
+
+def _stored_counts(s, d):
+    """Counted from the files of the stored layer, none of whose columns is read."""
+    path = new_path(s, "staging")
+    inputs.staging(s, d).write.partitionBy("source_file").parquet(path)
+    return t.source_row_counts(s, path)
+
 
 _FIELDS = ["store_id", "product_id", "dt", "CAST(round(sale_amount * 16) AS BIGINT)", "stock_hour6_22_cnt"]
 _DIGEST = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in _FIELDS)
@@ -210,13 +219,27 @@ query("evaluation_gates", oracle(_EVAL_CHECKS))(lambda s, d: _checks(_csv(s, d),
 
 
 def _import_cases(s, d):
-    """First load, identical reload, and a stored table with one value changed."""
-    new, n = _csv(s, d), _series(s, d)
+    """First load, identical reload, and a load of rows with one day changed."""
+    base, rows = _loads(s, d)
+    cases = s.createDataFrame(rows, "`case` string, old_rows long, action string")
+    stored = t.stored_evaluation(s, base).agg(F.count(F.lit(1)).alias("new_rows"))
+    return cases.crossJoin(F.broadcast(stored)).withColumn("failed_checks", F.lit(0).cast("bigint"))
+
+
+def _loads(s, d):
+    """Where the evaluation is stored after the three loads, and what each of them did."""
+    new, n, base = _csv(s, d), _series(s, d), new_path(s, "evaluation")
     other = new.withColumn("actual", F.when(F.col("dt") == F.lit("2024-07-02").cast("date"), F.col("actual") + 1)
                            .otherwise(F.col("actual")))
-    cases = {"first": new.limit(0), "same": new, "changed": other}
-    return gates.all_of([
-        t.import_evaluation(new, old, _checks(new, n)).withColumn("case", F.lit(name)) for name, old in cases.items()])
+    rows = []
+    for case, what in (("first", new), ("same", new), ("changed", other)):
+        have = t.stored_evaluation(s, base).count()
+        try:
+            action = t.load_evaluation(s, base, what, lambda loaded: _checks(loaded, n))
+        except t.EvaluationChanged:
+            action = "refuse"
+        rows.append((case, have, action))
+    return base, rows
 
 
 query("evaluation_import", oracle("""
@@ -224,6 +247,13 @@ SELECT c."case", n AS new_rows, CASE WHEN c."case" = 'first' THEN 0 ELSE n END A
        CAST(0 AS BIGINT) AS failed_checks, c.action FROM (SELECT count(*) AS n FROM evaluation)
 CROSS JOIN (VALUES ('first', 'load'), ('same', 'keep'), ('changed', 'refuse')) c("case", action)"""))(_import_cases)
 
+query("evaluation_load", oracle("SELECT * FROM evaluation", _EVAL_FLOATS, "dt"))(
+    lambda s, d: t.stored_evaluation(s, _loads(s, d)[0]).drop("source_print"))
+query("evaluation_load_metrics", oracle(
+    f"SELECT 'prediction' AS model, {METRICS} FROM (SELECT actual AS a, prediction AS p FROM evaluation)", "mae rmse wape"))(
+    lambda s, d: ev.compare_predictions(
+        t.stored_evaluation(s, _loads(s, d)[0]), "actual", {"prediction": "prediction"}))
+
 query("evaluation_view", oracle("""
 SELECT store_id, product_id, dt, actual, prediction, rolling_prediction, 'rolling mean holdout' AS model_version
 FROM evaluation""", _EVAL_FLOATS, "dt"))(

@@ -12,12 +12,21 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from shelfwise import schemas
 from shelfwise.operators import compare, gates
+from shelfwise.sources import versions
 
 
 class DuplicateLoad(RuntimeError):
     """The source file is already in the raw layer."""
 
 
+class ShortLoad(RuntimeError):
+    """The raw layer holds another number of rows than the source."""
+
+
+class EvaluationChanged(RuntimeError):
+    """Another evaluation is stored already."""
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -25,16 +34,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 # --- raw layer ---------------------------------------------------------------
 
-def already_loaded(spark: SparkSession, raw_path: str, source_file: str) -> bool:
-    """Partition-pruned existence check; no data file of another source is opened."""
-    if not path_exists(spark, raw_path):
-        return False
-    raw = spark.read.schema(schemas.RAW_RETAIL_DAILY).parquet(raw_path)
-    return bool(raw.filter(F.col("source_file") == source_file).select("source_file").take(1))
+def footer_counts(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Row counts, by partition columns if any, from the Parquet footers; no column is read.
+
+    A session of its own, since only the newer reader counts from footers.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def loaded_rows(spark: SparkSession, raw_path: str, source_file: str) -> int:
+    """Rows of one source in the raw layer, from the footers of its own partition."""
+    folder = f"{raw_path}/source_file={source_file}"
+    return footer_counts(spark, folder).first()["rows"] if path_exists(spark, folder) else 0
+
+
+def already_loaded(spark: SparkSession, raw_path: str, source_file: str, rows: int | None = None) -> bool:
+    """Whether the raw layer holds the source; with its registered ``rows``, all of it or none."""
+    have = loaded_rows(spark, raw_path, source_file)
+    if have and rows is not None and have != rows:
+        raise ShortLoad(f"{source_file}: {have} of {rows} rows")
+    return have > 0
 
 
 def ingest(spark: SparkSession, source_path: str, source_file: str, raw_path: str) -> None:
-    """Append one source to the raw layer with its name and load time."""
+    """Append one source to the raw layer with its name and load time; all its rows must arrive."""
     if already_loaded(spark, raw_path, source_file):
         raise DuplicateLoad(source_file)
     rows = spark.read.schema(schemas.SOURCE_RETAIL_DAILY).parquet(source_path)
@@ -43,30 +69,34 @@ def ingest(spark: SparkSession, source_path: str, source_file: str, raw_path: st
         .withColumn("ingested_at", F.current_timestamp())
         .write.partitionBy("source_file").mode("append").parquet(raw_path)
     )
+    already_loaded(spark, raw_path, source_file, footer_counts(spark, source_path).first()["rows"])
 
 
 def read_raw(spark: SparkSession, raw_path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_RETAIL_DAILY).parquet(raw_path)
 
 
-def source_row_counts(raw: DataFrame, columns: int | None = None) -> DataFrame:
-    """Rows per source and the declared column count."""
-    return raw.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "columns", F.lit(columns if columns is not None else len(raw.columns))
-    )
+def source_row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per source and the column count of a stored layer, from its footers."""
+    columns = len(spark.read.parquet(path).columns)
+    rows = [(r["source_file"], r["rows"], columns) for r in footer_counts(spark, path, ["source_file"]).collect()]  # sources
+    return spark.createDataFrame(rows, "source_file string, rows long, columns int")
 
 
 def insert_if_absent(new: DataFrame, key: Sequence[str], path: str) -> DataFrame:
-    """Append the rows whose key the table at ``path`` lacks; returns the table."""
+    """Append the rows whose key the table at ``path`` lacks, rebuilt by :func:`rebuild` or not; returns the table."""
     spark = new.sparkSession
+    held = versions.snapshot(spark, path)
+    if held:
+        absent = compare.absent_rows(new, held.read("rows", new.schema), key)
+        return versions.append(spark, path, "rows", absent).read("rows", new.schema)
     compare.absent_rows(new, spark.read.schema(new.schema).parquet(path), key).write.mode("append").parquet(path)
     return spark.read.schema(new.schema).parquet(path)
 
 
 def rebuild(df: DataFrame, path: str) -> DataFrame:
-    """Replace a derived table. The rows must not be read from ``path`` itself."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Replace a derived table; readers of the version before keep it, and a lost job leaves it in place."""
+    return versions.replace(df.sparkSession, path, {"rows": df}).read("rows", df.schema)
 
 
 # --- predictions -------------------------------------------------------------
@@ -80,28 +110,34 @@ def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
         "mode", "FAILFAST").csv(path)
 
 
-def import_evaluation(new: DataFrame, existing: DataFrame, checks: DataFrame) -> DataFrame:
-    """``load``, ``keep`` or ``refuse`` for an evaluation table.
+STORED_EVALUATION = StructType([*schemas.FORECAST_EVALUATION.fields, StructField("source_print", StringType())])
+
 
-    A stored evaluation with another fingerprint is never replaced silently,
-    and rows failing a check are never loaded.
+def load_evaluation(spark: SparkSession, base: str, new: DataFrame, checks: Callable[[DataFrame], DataFrame]) -> str:
+    """Load an evaluation once, with the fingerprint of its rows: ``load``, or ``keep`` when it is there already.
+
+    Another evaluation than the stored one is refused, whatever the caller
+    wants, and so are rows that fail a check; both leave the stored one as it is.
     """
-    def print_of(df: DataFrame) -> DataFrame:
-        # Doubles are compared by their exact bits through their text form.
-        return compare.table_fingerprint(df, [], [F.col(f.name) for f in schemas.FORECAST_EVALUATION])
-
-    a = print_of(new).select(F.col("fingerprint").alias("new_print"), F.col("row_count").alias("new_rows"))
-    b = print_of(existing).select(F.col("fingerprint").alias("old_print"), F.col("row_count").alias("old_rows"))
-    failed = checks.agg(F.count_if(~F.col("ok")).alias("failed_checks"))
-    action = (
-        F.when(F.col("failed_checks") > 0, "refuse")
-        .when(F.col("old_rows") == 0, "load")
-        .when(F.col("old_print") == F.col("new_print"), "keep")
-        .otherwise("refuse")
-    )
-    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(failed)).select(
-        "new_rows", "old_rows", "failed_checks", action.alias("action")
-    )
+    # Doubles are compared by their exact bits through their text form.
+    cols = [F.col(f.name) for f in schemas.FORECAST_EVALUATION]
+    now = compare.table_fingerprint(new, [], cols).first()
+    held = versions.snapshot(spark, base)
+    if held:
+        stored = held.read("evaluation", STORED_EVALUATION).agg(
+            F.count(F.lit(1)), F.min("source_print"), F.max("source_print")).first()
+        if tuple(stored) != (now["row_count"], now["fingerprint"], now["fingerprint"]):
+            raise EvaluationChanged(f"{stored[0]} rows are stored with another fingerprint")
+        return "keep"
+    rows = new.select(*cols, F.lit(now["fingerprint"]).alias("source_print"))
+    versions.replace(spark, base, {"evaluation": rows}, lambda t, _: checks(t["evaluation"].drop("source_print")))
+    return "load"
+
+
+def stored_evaluation(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of the loaded evaluation; none before the first load."""
+    held = versions.snapshot(spark, base)
+    return held.read("evaluation", STORED_EVALUATION) if held else spark.createDataFrame([], STORED_EVALUATION)
 
 
 # --- forecasts ---------------------------------------------------------------

@@ -85,3 +85,19 @@ def test_percent_rank_with_a_value_on_most_rows(spark, many):
     df = spark.createDataFrame([(i, 1.0 if i % 3 else float(i)) for i in range(600)], "id long, v double")
     got = {r["id"]: r["p"] for r in ordered.average_percent_rank(df, "v", ["id"], "p").collect()}
     assert got == {r["id"]: r["p"] for r in df.toPandas().assign(p=lambda x: x.v.rank(pct=True)).to_dict("records")}
+
+
+def test_first_rows_without_a_sort(spark):
+    first_rows = ordered.first_rows
+    rng = random.Random(2)
+    rows = [(rng.choice([0.0, 1.5, 1.5, 2.25, rng.random() * 1e6, -rng.random()]), rng.randrange(5) * 10**15, i * 3) for i in range(700)]
+    df = spark.createDataFrame(rows, "v double, w long, k long")
+    order = [(F.col("v"), True), (F.col("w"), False), (F.col("k"), True)]
+    ranked = sorted(rows, key=lambda r: (-r[0], r[1], -r[2]))
+    for k in (0, 1, 2, 10, 233, 350, 420, 699, 700, 900):
+        got = df.filter(first_rows(df, order, k))
+        assert sorted(map(tuple, got.collect())) == sorted(ranked[:k])
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        first_rows(df.unionByName(df), order, 701)
+    assert df.limit(0).filter(first_rows(df.limit(0), order, 4)).collect() == []
