@@ -43,7 +43,7 @@ class Settings:
     regenerate_scenario: bool = False
     abandoned_after_hours: float = 24.0
     weights: Mapping[str, float] = field(default_factory=lambda: dict(decisions.WEIGHTS))
-    boosting: boosting.Boosting = boosting.Boosting()
+    boosting: boosting.Params = boosting.LeafWise()
 
     def __post_init__(self) -> None:
         if not math.isfinite(self.budget) or self.budget < 0:

@@ -112,5 +112,6 @@ FORECAST_EVALUATION = _table(
 RUN_EVENT = _table("run_id string!, stage string!, status string!, ts timestamp!, details string")
 SOURCE_REGISTRY = _table("source_file string!, fingerprint string!, row_count long!")
 MODEL_MANIFEST = _table(
-    "model_id string!, data_fingerprint string!, feature_set string!, parameters string!, path string!"
+    "model_id string!, data_fingerprint string!, feature_set string!, parameters string!, path string!,"
+    "artifact_sha256 string!"
 )
