@@ -115,14 +115,29 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _piece(int(key[0]), ids, slots, hashes)
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, rows, bytes) of the texts with n terms, summed over a block."""
+    for b in words.blocks(batches):
+        w = words.words_of(b.column("text"), words.ALNUM)
+        n, at, rows = np.unique(w.count, return_inverse=True, return_counts=True)
+        size = np.bincount(at, np.diff(w.offsets).astype(np.float64)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(rows), pa.array(size)], ["n", "rows", "bytes"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their number of terms."""
+    for b in words.blocks(batches):
+        yield b.append_column("n", pa.array(words.words_of(b.column("text"), words.ALNUM).count))
+
+
 def build(documents: DataFrame) -> Index:
     """The index of all rows of ``documents`` (doc_id, text) that have a term."""
     spark = documents.sparkSession
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"m long, ids array<{kind}>, terms array<long>, term_at array<int>, tfs array<int>, entry_at array<int>, docs array<int>"
-    docs = documents.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long").alias("n"))
-    lengths = written(docs.groupBy("n").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).filter("n > 0"), "lengths")
+    docs = documents.select("doc_id", "text")
+    each = docs.select("text").mapInArrow(_lengths, "n long, rows long, bytes long").filter("n > 0")
+    lengths = written(each.groupBy("n").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")), "lengths")
     found = lengths.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("n")), F.sum("bytes"), F.count(F.lit(1))).first()
     if not found[0]:
         return Index(spark.createDataFrame([], schema), 0, 0)
@@ -133,7 +148,7 @@ def build(documents: DataFrame) -> Index:
     if found[3] <= BROADCAST_LENGTHS:
         strata = F.broadcast(strata)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found[2] // PARTITION_BYTES))
-    dealt = docs.join(strata, "n").withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), "pieces"))
+    dealt = docs.mapInArrow(_counted, f"doc_id {kind}, text string, n long").join(strata, "n").withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), "pieces"))
     ordered = dealt.select("m", "piece", "doc_id", "text").repartition(parts, "m", "piece").sortWithinPartitions("m", "piece")
     return Index(written(ordered.mapInArrow(_pieces, schema), "index"), found[0], found[1])
 
