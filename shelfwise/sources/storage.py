@@ -44,6 +44,17 @@ def discard(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables, given as scans of them, that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"/tables/{spark.sparkContext.applicationId}/"
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if own in folder:  # never anything but an intermediate table of this application
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
