@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import words
-from shelfwise.sources.storage import written
+from shelfwise.llm.columns import aside, back
+from shelfwise.sources.storage import dropped, written
 
 BANDS, ROWS = 40, 4
 T = BANDS * ROWS
@@ -115,7 +116,9 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                       F.col("hub").alias("class")))
     rows = asked.join(texts, "class")
     ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("class") != F.col("hub"))
-    return written(ordered.select("hub", "class", "text").mapInArrow(_verify_batches, "u long, v long"), "links")
+    links = written(ordered.select("hub", "class", "text").mapInArrow(_verify_batches, "u long, v long"), "links")
+    dropped(pairs, chunks)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,7 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        edges = written(small, "stars")
+        before, edges = edges, written(small, "stars")
+        dropped(before, large)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -143,10 +147,16 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("class").alias(end), F.col("comp").alias(f"comp_{end}"))
     between = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v"))
     roots = components(between)
-    return written(labels.join(roots, labels["comp"] == roots["node"], "left").select("class", "central", F.coalesce("root", "comp").alias("comp")), "labels")
+    now = written(labels.join(roots, labels["comp"] == roots["node"], "left").select("class", "central", F.coalesce("root", "comp").alias("comp")), "labels")
+    dropped(roots, labels, edges)
+    return now
 
 
-def _similar_size(a: str, b: str):
+def _few(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_IDS else table
+
+
+def _similar_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
@@ -167,11 +177,10 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
         F.xxhash64("band", "h").alias("key"), "class", "n")
     shared = spread.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("size")).filter("a != b").select("key", "size")
     buckets = written(spread.join(shared, "key"), "buckets")
-    members = buckets.drop("size")
+    members, held = buckets.drop("size"), [buckets]
     labels = written(buckets.groupBy("class").agg(F.sum("size").alias("central")).withColumn("comp", F.col("class")), "labels")
     wanted = labels.join(classes, "class").select("class", "rep.doc_id", "rep.text_id")
-    if labels.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _few(wanted, labels.count())
     d, w = documents.alias("d"), wanted.alias("w")
     texts = written(
         d.join(w, F.col("d.text_id").eqNullSafe(F.col("w.text_id")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
@@ -179,18 +188,28 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
     turn = 0
     while True:
         now = members.join(labels, "class")
-        split = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
-        now = written(now.join(split, "key"), "open")
-        if now.isEmpty():
+        split = written(now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key"), "split")
+        open_buckets = split.count()
+        if not open_buckets:
+            dropped(split, texts, *held)
             return labels
+        now = written(now.join(_few(split, open_buckets), "key"), "open")
+        dropped(split, *held)
         per_bucket = HUBS[turn] if turn < len(HUBS) else HUBS[-1] * 8 ** (turn - len(HUBS) + 1)
-        hubs = written(_drawn(now, per_bucket, turn), "hubs")
-        pairs = now.join(hubs, "key").filter(F.col("comp") != F.col("hub_comp")).filter(_similar_size("n", "hub_n"))
+        # The hubs of a bucket as one row, so that every member meets them at once and is known as one of them.
+        drawn = _drawn(now, per_bucket, turn).groupBy("key").agg(F.collect_list(F.struct("p", "hub", "hub_n", "hub_comp")).alias("hubs"))
+        hubs = written(drawn, "hubs")
+        held = [now, hubs]
+        met = now.join(_few(hubs, open_buckets * per_bucket), "key")
+        apart = F.filter("hubs", lambda h: (h["hub_comp"] != F.col("comp")) & _similar_size(F.col("n"), h["hub_n"]))
         if turn == 0:  # one hub each; the bulk of every group is joined before more are tried
-            pairs = pairs.groupBy("class").agg(F.min(F.struct("p", "hub")).alias("h")).select(F.col("h.hub").alias("hub"), "class")
+            nearest = F.array_min(F.transform(apart, lambda h: F.struct(h["p"].alias("p"), h["hub"].alias("hub"))))
+            pairs = met.select("class", nearest.alias("h")).filter("h IS NOT NULL").groupBy("class").agg(F.min("h").alias("h")).select(
+                F.col("h.hub").alias("hub"), "class")
+            members = now.select("key", "class", "n")
         else:
-            pairs = pairs.select("hub", "class").distinct()
-            members = now.join(hubs.select("key", F.col("hub").alias("class")), ["key", "class"], "left_anti").select("key", "class", "n")
+            pairs = met.select(F.explode(F.transform(apart, lambda h: h["hub"])).alias("hub"), "class").distinct()
+            members = met.filter(~F.exists("hubs", lambda h: h["hub"] == F.col("class"))).select("key", "class", "n")
         labels = _merged(labels, _linked(pairs, texts))
         turn += 1
 
@@ -232,10 +251,11 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     alone = rows.filter("comp is null").select("doc_id", "text_id", F.lit(1).cast("long").alias("same")).distinct()
     keep = written(chosen.select("k.doc_id", "k.text_id", "same").unionByName(alone).select(
         F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.col("same").alias("_same")), "keep")
-    if keep.count() <= BROADCAST_IDS:
-        keep = F.broadcast(keep)
-    found = documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")))
+    keep = _few(keep, keep.count())
+    dropped(rows)
+    used = ["doc_id", "text"]
+    found = aside(documents, used).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")))
     # Only rows that may be repeated as a whole are compared once more.
     once = found.filter("_same = 1")
     many = found.filter("_same > 1").dropDuplicates(["_id", "_text"])
-    return once.unionByName(many).select(*documents.columns)
+    return once.unionByName(many).select(*back(documents, used))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.columns import aside, back
 from shelfwise.operators.ordered import global_rank, globally_sorted, with_running_total
 from shelfwise.sources.storage import written
 
@@ -74,9 +75,8 @@ def with_copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """Every document as often as the mix takes it, with the columns it came with."""
-    own = [c for c in ("size", "source_size", "target", "copies") if c in documents.columns]
-    kept = documents.withColumnsRenamed({c: f"__{c}" for c in own})
-    taken = with_copies(kept, weights, cap, seed).filter("copies > 0")
-    repeated = taken.select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
-    return repeated.withColumnsRenamed({f"__{c}": c for c in own})
+    """Every document as often as the mix takes it, with the columns it came with, whatever they are called."""
+    used = ["doc_id", "text", "source"]
+    taken = with_copies(aside(documents, used), weights, cap, seed).filter("copies > 0")
+    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*back(documents, used))

@@ -14,6 +14,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from shelfwise.sources.storage import written
+from shelfwise.llm.columns import aside, back
+from shelfwise.sources.storage import dropped, written
 
 ROW_BYTES = 16
 
@@ -70,7 +72,79 @@ def contiguous_shards(documents: DataFrame, shards: int, size: Column, order: li
     return out.select(*sized.drop("__size").columns, "shard", "slot")
 
 
+# Bytes of documents that are sorted in one task.
+PIECE_BYTES = 64 << 20
+
+
+def _key(doc_id, text: int, row: int) -> tuple:
+    return doc_id is not None, 0 if doc_id is None else doc_id, text, row
+
+
+def _placer(bounds: list[tuple]):
+    """The piece of a row: the number of bounds below its key."""
+    def place(doc_id: pa.Array, text: pa.Array, row: pa.Array) -> pa.Array:
+        keys = map(_key, doc_id.to_pylist(), text.to_pylist(), row.to_pylist())
+        return pa.array([bisect_left(bounds, k) for k in keys], pa.int32())
+
+    return F.arrow_udf(place, "int")
+
+
+def _dealer(starts: list[tuple[int, int]], first: dict[int, int], total: int, shards: int):
+    """Adds shard and slot to the sorted rows of a piece, which starts after so many bytes and rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if before is None:
+                before, number = starts[b.column("piece")[0].as_py()]
+            size = b.column("size").to_numpy()
+            middle = 2 * (before + np.cumsum(size) - size) + size
+            shard = np.minimum(middle * shards // max(2 * total, 1), shards - 1)
+            base = np.array([first.get(s, 0) for s in range(shards)])[shard]
+            slot = number + np.arange(len(size), dtype=np.int64) - base
+            before, number = before + int(size.sum()), number + len(size)
+            yield b.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
+
+    return run
+
+
 def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
-    """``documents`` (doc_id, text, ...) in ascending doc_id, cut into near equal bytes."""
-    return contiguous_shards(documents, shards, document_size(),
-                             [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()])
+    """``documents`` (doc_id, text, ...) in ascending doc_id, cut into near equal bytes.
+
+    Only ids, hashes and sizes are sorted to find where pieces and shards begin;
+    the documents are then moved once, to their piece. Rows equal in id and text
+    are ordered by a hash of their other columns; only rows equal in all of them
+    are kept in one piece.
+    """
+    if shards < 1:
+        raise ValueError("shards must be positive")
+    spark, used = documents.sparkSession, ["doc_id", "text"]
+    docs = aside(documents, used)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    docs = docs.withColumns({"size": document_size(), "t": F.xxhash64("text"), "r": F.xxhash64(*hashed)})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("t"), F.col("r")]
+    narrow = docs.select("doc_id", "t", "r", F.col("size").alias("__size"))
+    total = narrow.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_BYTES))
+    ranged = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    schema = StructType([*ranged.schema.fields, StructField("__before", LongType()), StructField("__row", LongType())])
+    placed = written(ranged.mapInArrow(_running, schema), "placed")
+    last = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "t", "r")).alias("last")
+    found = placed.groupBy("__part").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"), last).collect()  # one row per piece
+    starts, bounds, offsets, size, rows = [], [], [], 0, 0
+    for r in sorted(found, key=lambda r: r["__part"]):
+        starts.append((size, rows))
+        offsets.append((r["__part"], size, rows))
+        bounds.append(_key(r["last"]["doc_id"], r["last"]["t"], r["last"]["r"]))
+        size, rows = size + r["s"], rows + r["n"]
+    begin = spark.createDataFrame(offsets, "__part int, __bytes long, __rows long")
+    cut = F.expr(f"int(least({shards - 1}, ((2 * (__bytes + __before) + __size) * {shards}) div {max(2 * total, 1)}))")
+    dealt = placed.join(F.broadcast(begin), "__part").groupBy(cut.alias("shard")).agg(F.min(F.col("__rows") + F.col("__row")).alias("first"))
+    first = {r["shard"]: r["first"] for r in dealt.collect()}  # one row per shard
+    dropped(placed)
+    piece = _placer(bounds)(F.col("doc_id"), F.col("t"), F.col("r"))
+    moved = docs.withColumn("piece", piece).repartitionById(max(len(bounds), 1), "piece").sortWithinPartitions(*order)
+    schema = StructType([*moved.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
+    out = moved.mapInArrow(_dealer(starts, first, total, shards), schema)
+    return out.select(*back(documents, used, ("shard", "slot")), "shard", "slot")

@@ -29,6 +29,22 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
 
 
+def test_columns_of_any_name_pass_every_stage(spark, tmp_path):
+    """Names that operators use inside, carried through all stages with their values."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "w1é w2é w3é")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = ["_id", "_text", "_same", "_source", "_rate", "_copy", "__size", "__row", "__part", "__at", "kept0", "kept1", "class", "comp", "piece",
+             "t", "r", "copies", "hits", "n_words", "items", "spans", "lang_pred", "score", "size", "target", "source_size", "text_id", "_url"]
+    docs = common.frame(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumns(
+        {n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert out.columns == [*docs.columns, *(["shard", "slot"] if k == 4 else [])], name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names), name
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_clean_documents_stay(spark):
     import random
 
