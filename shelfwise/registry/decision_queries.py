@@ -285,19 +285,40 @@ FROM ({_OUTLOOK_SQL})""", "predicted_demand", "forecast_date"))(
         *SERIES_KEY, "forecast_date", "predicted_demand",
         (F.col("forecast_date") == F.date_add("as_of_date", 1)).alias("date_ok")))
 
-query("decision_reconciliation", oracle(gate_rows(
-    [(n, broken(f"abs({n} - ({x})) <= 1e-7")) for n, x in (
-        ("inventory_position", "on_hand_quantity + on_order_quantity - backorder_quantity"),
-        ("safety_stock", "safety_stock"), ("reorder_point", "lead_time_demand + safety_stock"),
-        ("days_of_supply", "on_hand_quantity / expected_daily_demand"),
-        ("coverage_gap_days", "greatest(average_lead_time_days - days_of_supply, 0)"),
-        ("raw_order_quantity", "greatest(target_stock_level - inventory_position, 0)"))]
-    + [("expected_demand", broken("abs(expected_daily_demand - greatest(prediction, 0.01e0)) <= 1e-7")),
-       ("funded_reaches_moq", broken("allocated_quantity = 0 OR (allocated_quantity >= minimum_order_quantity "
-                                     "AND allocated_quantity <= final_recommended_quantity)")),
-       ("funded_whole_packs", broken("allocated_quantity % case_pack_size = 0"))], "tower")))(
+# Every number again from the inputs beside it, none from another published result.
+_SAFETY = """((CASE WHEN target_service_level >= 0.99e0 THEN 2.326e0 WHEN target_service_level >= 0.975e0 THEN 1.960e0 ELSE 1.645e0 END)
+ * sqrt(average_lead_time_days * (demand_std * demand_std)
+        + (expected_daily_demand * expected_daily_demand) * (lead_time_std_days * lead_time_std_days)))"""
+_POSITION = "(on_hand_quantity + on_order_quantity - backorder_quantity)"
+_RECONCILED = [(n, broken(f"abs({n} - ({x})) <= 1e-7")) for n, x in (
+    ("inventory_position", _POSITION), ("safety_stock", _SAFETY),
+    ("reorder_point", f"expected_daily_demand * average_lead_time_days + {_SAFETY}"),
+    ("days_of_supply", "on_hand_quantity / expected_daily_demand"),
+    ("coverage_gap_days", "greatest(average_lead_time_days - on_hand_quantity / expected_daily_demand, 0)"),
+    ("raw_order_quantity", f"greatest(expected_daily_demand * planning_horizon_days + {_SAFETY} - {_POSITION}, 0)"),
+)]
+_RECONCILED += [
+    ("expected_demand", broken("abs(expected_daily_demand - greatest(prediction, 0.01e0)) <= 1e-7")),
+    ("funded_reaches_moq", broken("allocated_quantity = 0 OR (allocated_quantity >= minimum_order_quantity "
+                                  "AND allocated_quantity <= final_recommended_quantity)")),
+    ("funded_whole_packs", broken("allocated_quantity % case_pack_size = 0"))]
+query("decision_reconciliation", oracle(gate_rows(_RECONCILED, "tower")))(
     lambda s, d: ct.reconciliation(chain.published(s, d)[1]))
 
+# Wrong by one column each, for products and stores of some numbers.
+_WRONG = {"safety_stock": ("product_id", 5, 1.0), "on_hand_quantity": ("product_id", 7, 2.0), "lead_time_std_days": ("product_id", 9, 0.25),
+          "prediction": ("product_id", 11, 1.0), "allocated_quantity": ("store_id", 3, 0.5)}
+
+
+def _perturbed(s, d):
+    mart = chain.published(s, d)[1]
+    return mart.withColumns({c: F.when(F.col(k) % n == 0, F.col(c) + v).otherwise(F.col(c)) for c, (k, n, v) in _WRONG.items()})
+
+
+query("decision_reconciliation_perturbed", oracle(gate_rows(_RECONCILED, "(SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN {k} % {n} = 0 THEN {c} + {v}e0 ELSE {c} END AS {c}" for c, (k, n, v) in _WRONG.items()) + ") FROM tower)")))(
+    lambda s, d: ct.reconciliation(_perturbed(s, d)))
+
 query("mart_totals", oracle("""
 SELECT count(*) AS series, sum(allocated_order_value) AS allocated_capital, sum(allocated_quantity) AS funded_quantity,
        count(*) FILTER (WHERE allocated_quantity > 0) AS funded_orders,

@@ -20,7 +20,7 @@ stockout_sales_profile population_compare features_v3 temporal_splits forward_fe
 baseline_metrics error_by_demand_band kpi_accuracy dedup_load_guard source_registry_changes reconcile_bag_diff
 evaluation_import run_audit_latest scenario_sample scenario_supplier budget_sensitivity control_tower
 control_tower_gates publish_snapshot bi_forecast_outlook kpi_counts kpi_budget_context series_detail_by_store
-scalar_hash scalar_dates
+scalar_hash scalar_dates decision_reconciliation_perturbed evaluation_load cardinality_sketches integer_columns event_days_summary
 """.split()
 ORACLES = entry_points.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("SHELFWISE_ALL_ORACLES") else SAMPLE
