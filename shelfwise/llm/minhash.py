@@ -12,12 +12,18 @@ Candidates. BANDS bands of ROWS coordinates are bucket keys; a pair at the
 threshold 0.75 shares no bucket with probability (1 - 0.75^4)^40 < 3e-7.
 
 Verification. Documents with equal shingle sets are one class. Within a bucket
-all pairs are not formed: hubs are drawn, every member of another component is
-compared with them on full shingle sets, components are merged, the hubs leave
-the bucket, and more hubs are drawn the next time, until each bucket is one
-component or has no pair left that was not compared. So a pair that shares a
-bucket ends in one component or was found not linked, and groups of
-thousands of near copies cost a few comparisons per member.
+all pairs are not formed: a hub is drawn, every member of another component is
+compared with it on full shingle sets, components are merged, the hub leaves
+the bucket, and another is drawn. What shares a bucket of several components
+after BAND_TURNS such turns is mostly texts with a passage in common that are not
+similar. Their buckets are dealt anew by the rarest shingles of each set: with
+shingles in any one order, two sets at the threshold share one of the first
+n - ceil(0.75 n) + 1 of each, and the rarest are seldom those of a passage. Hubs
+are drawn from these until each bucket is one component or has no pair left that was
+not compared. A pair whose shingles after the shared one are too few to reach the
+threshold need not be. So a pair that shares a bucket ends in one component
+or was found not linked, and groups of thousands of near copies cost a few
+comparisons per member.
 
 Any column may be null; null and empty texts have no shingles and are linked
 with nothing. A null ``doc_id`` never names a component unless all ids of it
@@ -45,8 +51,9 @@ SIMILARITY = 75  # per cent
 # Ids of this many classes are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 MEMBERS_PER_CHUNK = 64
-# Hubs drawn from a bucket at the first turns; eight times as many at each further one.
-HUBS = (1, 1, 1, 4)
+# Turns with one hub of each band's bucket; then buckets are rare shingles, with so many hubs each turn, at last the last number.
+BAND_TURNS = 2
+HUBS = (256, 1024)
 _MAX = np.uint64((1 << 64) - 1)
 _SEEDS = words.seeds(2 * T, 0x51)
 _BAND_SEEDS = words.seeds(T, 0xBA).reshape(BANDS, ROWS) | np.uint64(1)
@@ -156,19 +163,47 @@ def _few(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_IDS else table
 
 
-def _similar_size(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _may_reach(n: Column, rest: Column, hub_n: Column, hub_rest: Column) -> Column:
+    """Whether sets of n shingles, of which at most ``rest`` can be common, can be similar enough."""
+    return (100 + SIMILARITY) * F.least(rest, hub_rest) >= SIMILARITY * (n + hub_n)
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in words.blocks(batches):
+        values, row = words.flat(words.shingle_sets(b.column("text"), SHINGLE_WORDS))
+        sizes = np.bincount(row, minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("class"), pa.array(sizes, pa.int64()), words.list_array(values.view(np.int64), sizes)], ["class", "n", "shingles"])
+
+
+def _rare_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The classes of ``members`` by the rarest shingles of each: (key, class, n, rest), rest from the key on.
+
+    Shingles of one class alone are the rarest of all and no key of anything.
+    """
+    asked = members.select("class").distinct()
+    sets = written(texts.join(asked, "class").mapInArrow(_shingle_batches, "class long, n long, shingles array<long>"), "sets")
+    one = sets.select("class", "n", F.explode("shingles").alias("key"))
+    counts = one.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    ranked = one.join(counts, "key").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("s"))
+    first = F.col("n") - F.ceil(SIMILARITY * F.col("n") / 100) + 1 - (F.col("n") - F.size("s"))
+    chosen = ranked.filter(first > 0).select("class", "n", F.size("s").alias("shared"), F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("at", "x"))
+    rare = written(chosen.select(F.col("x.key").alias("key"), "class", "n", (F.col("shared") - F.col("at")).cast("long").alias("rest")), "rare")
+    dropped(sets)
+    return rare
 
 
 def _drawn(members: DataFrame, per_bucket: int, turn: int) -> DataFrame:
     """At most ``per_bucket`` hubs of every bucket: the most central of each of as many hash groups.
 
-    A text that shares its buckets with many others is likely to be linked with many of them.
+    A text that shares its buckets with many others is likely to be linked with many of them. Groups are
+    of components and of classes in turn: where most members are of one component, one hub of each other
+    one is all it takes, and where there are several large ones, hubs of the same have to be drawn at once.
     """
-    group = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(per_bucket))
+    by = "comp" if turn % 2 else "class"
+    group = F.pmod(F.xxhash64(by, F.lit(turn)), F.lit(per_bucket))
     return members.groupBy("key", group.alias("g")).agg(
-        F.min(F.struct((-F.col("central")).alias("p"), "class", "n", "comp")).alias("h")
-    ).select("key", F.col("h.p").alias("p"), F.col("h.class").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
+        F.min(F.struct((-F.col("central")).alias("p"), "class", "n", "rest", "comp")).alias("h")).select("key", "h.*")
 
 
 def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -177,7 +212,7 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
         F.xxhash64("band", "h").alias("key"), "class", "n")
     shared = spread.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("size")).filter("a != b").select("key", "size")
     buckets = written(spread.join(shared, "key"), "buckets")
-    members, held = buckets.drop("size"), [buckets]
+    members, held = buckets.select("key", "class", "n", F.col("n").alias("rest")), [buckets]
     labels = written(buckets.groupBy("class").agg(F.sum("size").alias("central")).withColumn("comp", F.col("class")), "labels")
     wanted = labels.join(classes, "class").select("class", "rep.doc_id", "rep.text_id")
     wanted = _few(wanted, labels.count())
@@ -193,24 +228,30 @@ def class_links(classes: DataFrame, documents: DataFrame) -> DataFrame:
         if not open_buckets:
             dropped(split, texts, *held)
             return labels
+        if turn == BAND_TURNS:
+            turn, members = turn + 1, _rare_buckets(members.join(_few(split, open_buckets), "key"), texts)
+            dropped(split, *held)
+            held = [members]
+            continue
         now = written(now.join(_few(split, open_buckets), "key"), "open")
         dropped(split, *held)
-        per_bucket = HUBS[turn] if turn < len(HUBS) else HUBS[-1] * 8 ** (turn - len(HUBS) + 1)
+        per_bucket = 1 if turn < BAND_TURNS else HUBS[min(turn - BAND_TURNS - 1, len(HUBS) - 1)]
         # The hubs of a bucket as one row, so that every member meets them at once and is known as one of them.
-        drawn = _drawn(now, per_bucket, turn).groupBy("key").agg(F.collect_list(F.struct("p", "hub", "hub_n", "hub_comp")).alias("hubs"))
+        drawn = _drawn(now, per_bucket, turn).groupBy("key").agg(F.collect_list(F.struct("p", "class", "n", "rest", "comp")).alias("hubs"))
         hubs = written(drawn, "hubs")
         held = [now, hubs]
         met = now.join(_few(hubs, open_buckets * per_bucket), "key")
-        apart = F.filter("hubs", lambda h: (h["hub_comp"] != F.col("comp")) & _similar_size(F.col("n"), h["hub_n"]))
+        apart = F.filter("hubs", lambda h: (h["comp"] != F.col("comp")) & _may_reach(F.col("n"), F.col("rest"), h["n"], h["rest"]))
         if turn == 0:  # one hub each; the bulk of every group is joined before more are tried
-            nearest = F.array_min(F.transform(apart, lambda h: F.struct(h["p"].alias("p"), h["hub"].alias("hub"))))
+            nearest = F.array_min(F.transform(apart, lambda h: F.struct(h["p"].alias("p"), h["class"].alias("hub"))))
             pairs = met.select("class", nearest.alias("h")).filter("h IS NOT NULL").groupBy("class").agg(F.min("h").alias("h")).select(
                 F.col("h.hub").alias("hub"), "class")
-            members = now.select("key", "class", "n")
+            members = now.select("key", "class", "n", "rest")
         else:
-            pairs = met.select(F.explode(F.transform(apart, lambda h: h["hub"])).alias("hub"), "class").distinct()
-            members = met.filter(~F.exists("hubs", lambda h: h["hub"] == F.col("class"))).select("key", "class", "n")
-        labels = _merged(labels, _linked(pairs, texts))
+            pairs = met.select(F.explode(F.transform(apart, lambda h: h["class"])).alias("hub"), "class").distinct()
+            members = met.filter(~F.exists("hubs", lambda h: h["class"] == F.col("class"))).select("key", "class", "n", "rest")
+        links = _linked(pairs, texts)
+        labels = labels if links.isEmpty() else _merged(labels, links)
         turn += 1
 
 

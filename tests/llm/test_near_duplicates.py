@@ -57,6 +57,38 @@ def test_chain_of_links_and_a_large_group(spark):
     assert len({want[i] for i in range(30)}) == 1
 
 
+def test_texts_that_share_a_passage_are_dealt_by_their_rare_shingles(spark):
+    """A passage of 60 words with 6 to 30 of its own words around: some are linked, most meet in buckets only."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(60)]
+    values = []
+    for i in range(240):
+        own = [f"w{x}" for x in rng.integers(0, 40 if i % 3 else 4000, int(rng.integers(6, 30)))]
+        cut = int(rng.integers(0, len(own) + 1))
+        values.append(" ".join([*own[:cut], *passage, *own[cut:]]))
+    values += [v.replace("p30", "other") for v in values[::4]]
+    got = minhash.near_duplicates(common.frame(spark, values)).collect()
+    want = {i: c for i, _, c in brute(list(range(len(values))), values)}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 20 < len(set(want.values())) < 200
+
+
+def test_rare_buckets_hold_every_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    base = [[f"v{x}" for x in rng.integers(0, 300, 60)] for _ in range(12)]
+    values = [" ".join(b[:k] + [f"y{k}"] + b[k + 2:]) for b in base for k in range(0, 56, 8)]
+    texts = spark.createDataFrame(list(enumerate(values)), "class long, text string")
+    rows = minhash._rare_buckets(texts.select("class"), texts).collect()
+    met, s = {}, sets(values)
+    for r in rows:
+        assert r.n == len(s[r["class"]]) >= r.rest >= 1
+        met.setdefault(r.key, []).append(r)
+    found = {(a["class"], b["class"]) for group in met.values() for a in group for b in group
+             if a["class"] < b["class"] and 175 * min(a.rest, b.rest) >= 75 * (a.n + b.n)}
+    similar = {(i, j) for j in range(len(s)) for i in range(j) if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])}
+    assert similar and similar <= found
+
+
 def test_one_document_of_each_group_stays(spark):
     df = common.awkward(spark)
     kept = minhash.without_near_duplicates(df)
