@@ -1,6 +1,6 @@
 """One batch run from source files to the published control tower.
 
-Stages: ingest, warehouse, model, forecast, publish. Each stage appends its
+Stages: ingest, warehouse, model, forecast, publish, and the check of the outlook that BI reads. Each stage appends its
 start and end to the audit log; a run that stops anywhere leaves the previous
 publication in place.
 """
@@ -180,6 +180,24 @@ def build_scenario(run: Run, fact: DataFrame, details: dict) -> dict[str, DataFr
     return {n: tables.read_published(spark, base, n, schema) for n, schema in declared.items()}
 
 
+def outlook(spark: SparkSession, base: str) -> DataFrame:
+    """The published decisions with their forecasts and the time their run ended, as BI reads them."""
+    run_id, folder = tables.current_run(spark, f"{base}/marts"), tables.current_folder(spark, f"{base}/marts")
+    if run_id is None:
+        raise ValueError("nothing is published yet")
+    events = spark.read.schema(schemas.RUN_EVENT).parquet(f"{base}/audit")
+    return control_tower.bi_forecast_outlook(
+        spark.read.parquet(f"{folder}/control_tower").drop("prediction"),
+        tables.read_forecast(spark, f"{base}/forecast", run_id), tables.run_table(events))
+
+
+def check_outlook(run: Run, details: dict) -> None:
+    rows = outlook(run.spark, run.base)
+    folder = tables.current_folder(run.spark, f"{run.base}/marts")
+    gates.require(control_tower.outlook_gates(rows, run.spark.read.parquet(f"{folder}/control_tower")))
+    details["rows"] = rows.count()
+
+
 def publish(run: Run, layers: dict[str, DataFrame], forecast: DataFrame, details: dict) -> None:
     s = run.settings
     parts = build_scenario(run, layers["fact"], details)
@@ -237,3 +255,5 @@ def run(spark: SparkSession, sources: Mapping[str, str], base: str, run_id: str,
         r.log("run", "failed")
         raise
     r.log("run", "success", {"model_id": model_id, "as_of": settings.as_of})
+    with r.stage("outlook") as details:  # reads the end of the run, so it follows it
+        check_outlook(r, details)

@@ -155,7 +155,10 @@ def bi_demand_history(fact: DataFrame, tower: DataFrame) -> DataFrame:
 
 
 def bi_forecast_outlook(tower: DataFrame, forecast: DataFrame, run: DataFrame) -> DataFrame:
-    """Published decision next to its forecast and run; ``run`` is one row per run, ``tower`` of one run."""
+    """Published decision next to its forecast and run; ``run`` is ``tables.run_table``, ``tower`` of one run.
+
+    ``generated_at`` is the time at which the run ended. An unknown run leaves it and the budget null.
+    """
     f = forecast.select(
         *SERIES_KEY, "as_of_date", F.col("target_date").alias("forecast_date"),
         F.col("prediction").alias("predicted_demand"), F.col("run_id").alias("forecast_run_id"),
@@ -164,17 +167,33 @@ def bi_forecast_outlook(tower: DataFrame, forecast: DataFrame, run: DataFrame) -
     # A snapshot belongs to one run; its configuration is one row, so no row of the mart moves for it.
     current = tower.agg(F.max("forecast_run_id").alias("_run"))
     budget = F.get_json_object("config", "$.budget").cast("double")
-    r = run.join(F.broadcast(current), F.col("run_id") == F.col("_run")).agg(F.max(budget).alias("scenario_budget"))
+    r = run.join(F.broadcast(current), F.col("run_id") == F.col("_run")).agg(
+        F.max(budget).alias("scenario_budget"), F.max("finished_at").alias("generated_at"))
     return tower.join(f, [*SERIES_KEY, "forecast_run_id"]).filter(
         F.col("forecast_date") == F.col("forecast_target_date")
     ).crossJoin(F.broadcast(r)).select(
         *SERIES_KEY, "as_of_date", "forecast_date", "predicted_demand", "model_id", "forecast_run_id",
-        "input_policy", *[x for x in CONTROL_TOWER[5:] if x not in (
+        "generated_at", "input_policy", *[x for x in CONTROL_TOWER[5:] if x not in (
             "reorder_required", "stockout_cost_per_unit", "on_time_delivery_rate", "priority_weight")],
         "minimum_order_quantity", "case_pack_size", "scenario_budget",
     )
 
 
+def outlook_gates(outlook: DataFrame, tower: DataFrame) -> DataFrame:
+    """Every published series stands in the outlook once, with a demand for the next day and a finished run."""
+    c = F.col
+    rules = {
+        "forecast_not_next_day": c("forecast_date").eqNullSafe(F.date_add("as_of_date", 1)),
+        "demand_missing": c("predicted_demand").isNotNull(),
+        "run_not_finished": c("generated_at").isNotNull(),
+    }
+    return gates.all_of([
+        gates.row_count_gate(outlook, "outlook_rows", tower.count()),
+        gates.unique_key_gate(outlook, SERIES_KEY, "repeated_series"),
+        gates.rule_violations(outlook, rules),
+    ])
+
+
 def mart_totals(tower: DataFrame) -> DataFrame:
     c = F.col
     return tower.agg(

@@ -162,6 +162,17 @@ def latest_state(events: DataFrame, key: Sequence[str], order: Sequence[str], co
     return events.groupBy(*key).agg(newest).select(*key, *[F.col(f"e.{c}").alias(c) for c in (*order, *cols)])
 
 
+def run_table(events: DataFrame, stage: str = "run") -> DataFrame:
+    """One row per run from its own events: start, newest end, settings it started with, status of its last event."""
+    ended = F.col("status").isin("success", "failed")
+    return events.filter(F.col("stage") == stage).groupBy("run_id").agg(
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+        F.max(F.when(ended, F.col("ts"))).alias("finished_at"),
+        F.max(F.when(F.col("status") == "running", F.struct("ts", "details")))["details"].alias("config"),
+        F.max(F.struct("ts", "status"))["status"].alias("status"),
+    )
+
+
 def close_abandoned(state: DataFrame, status: str, running: str, cutoff: str, ts: str = "ts") -> DataFrame:
     """Runs still ``running`` whose last event is older than ``cutoff`` count as failed."""
     late = (F.col(status) == running) & (F.col(ts) < F.lit(cutoff).cast("timestamp"))

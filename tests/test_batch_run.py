@@ -45,6 +45,10 @@ def test_full_run_then_reuse_then_refusal(spark, sources):
     state = {(r["run_id"], r["stage"]): r for r in batch_run.audit_state(spark, base).collect()}
     assert {r["status"] for r in state.values()} == {"success"}
     assert '"reused"' in state[("second", "model")]["details"]
+    # The outlook carries the end of its run and the budget the run started with.
+    assert state[("second", "outlook")]["details"] == '{"rows": 20}'
+    ended = {(r["generated_at"], r["scenario_budget"], r["forecast_run_id"]) for r in batch_run.outlook(spark, base).collect()}
+    assert ended == {(state[("second", "run")]["ts"], 300.0, "second")}
     assert '"train.parquet": "reused"' in state[("second", "ingest")]["details"]
 
     with pytest.raises(ValueError, match="another size"):
