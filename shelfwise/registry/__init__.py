@@ -58,4 +58,5 @@ def load_all() -> None:
         model_queries,
         scalar_queries,
         source_queries,
+        stored_queries,
     )

@@ -74,7 +74,7 @@ def tower(sc: Scenario, budget: float | None = None) -> DataFrame:
 _PUBLISHED: dict[tuple[str, str, tuple], tuple[Scenario, DataFrame]] = {}
 
 
-def _input_files(spark: SparkSession, sf_dir: str) -> tuple:
+def input_files(spark: SparkSession, sf_dir: str) -> tuple:
     """Names, sizes and times of the files that the mart is made from."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
@@ -87,7 +87,7 @@ def _input_files(spark: SparkSession, sf_dir: str) -> tuple:
 
 def published(spark: SparkSession, sf_dir: str) -> tuple[Scenario, DataFrame]:
     """The written mart that BI queries read, built once per session and state of the input files."""
-    key = (spark.sparkContext.applicationId, sf_dir, _input_files(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, input_files(spark, sf_dir))
     if key not in _PUBLISHED:
         sc = build_scenario(spark, sf_dir)
         _PUBLISHED[key] = (sc, written(tower(sc), "control_tower"))
