@@ -12,12 +12,14 @@ A document's score is a logistic function, fitted on the same sample, of the sum
 of its marginals from NOTABLE on, their share of the words, and the largest. Runs of words with a marginal of a half
 or more come back as spans of code points.
 
-Learning takes at most about SAMPLE documents of each label, the whole text of
-each, drawn by hash from the rows the caller allows, and all chains with a word
-labelled toxic. A null or
+Learning takes at most about SAMPLE documents and SAMPLE_BYTES of text of each label,
+the whole text of each, drawn by hash from the rows the caller allows, and all chains with a word
+labelled toxic. A text that does not fit into what is left of the bytes is passed over; a
+text longer than SAMPLE_BYTES is scored, not learned from. A null or
 empty text scores 0, as does every text when no toxic document can be learned
 from. Null labels teach nothing; a document labelled twice counts by its
-highest label. Repeated rows get a row each; a null ``doc_id`` is kept. Empty
+highest label. Repeated rows get a row each, and are one in the sample; a null ``doc_id`` is
+kept. Other columns are carried, ``score`` and ``spans`` replaced. Equal texts score alike. Empty
 tables give an empty result or scores of 0.
 """
 
@@ -31,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import words
+from shelfwise.sources.storage import written
 
 SAMPLE = 1500
+SAMPLE_BYTES = 16 << 20  # of each label
 CHAIN = 128
 NOTABLE = 0.05
 STEMS = (4, 6, 8)
@@ -185,15 +189,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30)
     return b
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Crf | None:
+def within(sizes: list, limit: int) -> list[tuple]:
+    """The (doc_id, key) of rows (doc_id, key, toxic, size), in their order, that fit into ``limit`` bytes a label."""
+    used, out = {True: 0, False: 0}, []
+    for r in sizes:
+        toxic = r["toxic"] == 1
+        if used[toxic] + r["size"] <= limit:
+            used[toxic] += r["size"]
+            out.append((r["doc_id"], r["key"]))
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Crf | None:
     """A chain learned from labelled documents where ``learn`` (of doc_id) holds; None without toxic words."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(learn)
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     h = F.xxhash64("doc_id", F.lit(21))
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(counts.get(1, 0), 1))).otherwise(min(1.0, sample / max(counts.get(0, 0), 1)))
     drawn = marks.filter(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).orderBy(h, "doc_id").limit(4 * sample)
-    rows = (documents.filter(F.length("text") > 0).join(F.broadcast(drawn), "doc_id").select("text", "toxic", "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "text").limit(4 * sample).collect())
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key")).filter(F.length("text") > 0)
+    found = written(texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "key"]), "labelled")
+    order, names = [F.xxhash64("doc_id"), F.col("key")], found.select("doc_id", "key").schema
+    sizes = found.select("doc_id", "key", "toxic", F.octet_length("text").alias("size")).orderBy(*order).limit(4 * sample).collect()
+    chosen = found.sparkSession.createDataFrame(within(sizes, sample_bytes), names)
+    rows = found.join(F.broadcast(chosen), ["doc_id", "key"]).orderBy(*order).select("text", "toxic").collect()
     toxic = np.array([r["toxic"] == 1 for r in rows], dtype=bool)
     if not toxic.any():
         return None

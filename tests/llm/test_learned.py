@@ -92,6 +92,24 @@ def test_toxic_words_are_found(spark):
     assert rows[600].score == 0 and rows[601].score == 0
 
 
+def test_the_sample_is_bounded_by_bytes_and_holds_a_row_once():
+    rows = [{"doc_id": i, "key": i, "toxic": int(i % 2), "size": n} for i, n in enumerate((40, 50, 70, 60, 30, 900, 30))]
+    assert X.within(rows, 100) == [(0, 0), (1, 1), (4, 4), (6, 6)]
+    assert X.within(rows, 0) == X.within([], 100) == []
+
+
+def test_repeated_rows_do_not_push_other_documents_out_of_the_sample(spark):
+    texts = toxic_case(1, 200)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    once = common.frame(spark, texts)
+    # One clean document a third of all rows and more, and a column of the labels' name.
+    hot = once.unionByName(common.frame(spark, texts).filter("doc_id = 1").crossJoin(spark.range(300)).drop("id")).withColumn("toxic", F.lit("x"))
+    models = [X.fit(d, labels, F.lit(True), sample=50) for d in (once, hot)]
+    scores = [[r.score for r in X.score(once, m).orderBy("doc_id").collect()] for m in models]
+    assert scores[0] == scores[1] and max(scores[0]) > 0.5
+    assert X.fit(once, labels, F.lit(True), sample_bytes=10) is None
+
+
 def test_toxicity_of_awkward_rows(spark):
     df, none = common.awkward(spark), spark.createDataFrame([], "doc_id long, toxic int")
     assert X.fit(df, none, F.lit(True)) is None
