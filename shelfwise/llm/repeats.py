@@ -26,9 +26,9 @@ Removal takes every byte of a repeated window, on the input. With ``keep_first``
 the first copy stays, in the order of text hash and position.
 
 Texts are UTF-8 bytes; null is empty and nothing is repeated in it. Texts shorter
-than LENGTH have no windows. Equal texts are one text with a count. Repeated
+than LENGTH have no windows; very long ones are read in one task, a stretch at a time. Equal texts are one text with a count. Repeated
 rows get a row each; a null ``doc_id`` is kept. What is kept need not be UTF-8,
-since a removal may end inside a character. An empty table gives an empty
+since a removal may end inside a character. Other columns are left out. An empty table gives an empty
 result.
 """
 
@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import words
+from shelfwise.sources.bucketed import stored_bytes
 from shelfwise.sources.storage import written
 
 LENGTH = 400
@@ -51,8 +52,8 @@ LEFT = LENGTH - KGRAM  # a window that names an anchor starts at most so far bef
 GROUP = 1024
 # Widths of the ranges of windows into which larger groups are split, one turn after the other.
 WIDTHS = (43, 6, 1)
-BROADCAST_TEXTS = 200_000
-_PLACE_BITS = np.uint64(28)
+BROADCAST_BYTES = 32 << 20  # of stored files
+_PLACE_BITS = 28
 
 
 class Prefixes:
@@ -79,6 +80,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n - w + 1], ahead[w - 1:n])
 
 
+def smallest_places(grams: np.ndarray) -> np.ndarray:
+    """For each window the place of the smallest hash in it, the first of equals (by all but the last _PLACE_BITS bits)."""
+    bits, step, out = np.uint64(_PLACE_BITS), 1 << (_PLACE_BITS - 1), []
+    for begin in range(0, len(grams) - LEFT, step):  # a stretch at a time, since a place has _PLACE_BITS bits
+        part = grams[begin:begin + step + LEFT]
+        keys = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(keys, LEFT + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per anchor of each text: its row, place in the block, hash, and hash of its surroundings."""
     none = np.zeros(0, dtype=np.int64)
@@ -87,8 +98,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     p = Prefixes(data)
     at = np.arange(len(data) - KGRAM + 1)
     grams = p.of(at, at + KGRAM)
-    keys = (grams >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
-    named = (sliding_min(keys, LEFT + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    named = smallest_places(grams)
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)[:len(named)]
     whole = np.arange(len(named)) + LENGTH <= offsets[1:][row]
@@ -275,10 +285,14 @@ def _split_ranges(documents: DataFrame, contexts: DataFrame, keep_first: bool) -
     return found
 
 
+def _broadcast(table: DataFrame) -> DataFrame:
+    """A written table with a hint if its files, whose rows hold lists, are small; else the planner decides."""
+    return F.broadcast(table) if stored_bytes(table) <= BROADCAST_BYTES else table
+
+
 def _of_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``documents`` joined with one row per wanted text (text_id, doc_id); broadcast if there are few."""
-    if wanted.count() <= BROADCAST_TEXTS:
-        wanted = F.broadcast(wanted)
+    """``documents`` joined with one row per wanted text (text_id, doc_id; a written table)."""
+    wanted = _broadcast(wanted)
     d, w = documents.alias("d"), wanted.alias("w")
     same = (F.col("d.text_id") == F.col("w.text_id")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
     return d.join(w, same).select("d.text_id", "d.text", "w.wanted")
@@ -370,9 +384,7 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def without_repeats(documents: DataFrame, keep_first: bool = False) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, removed (start, end in bytes)."""
     docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"))
-    spans = repeated_spans(docs, keep_first)
-    if spans.count() <= BROADCAST_TEXTS:
-        spans = F.broadcast(spans)
+    spans = _broadcast(repeated_spans(docs, keep_first))
     d, s = docs.alias("d"), spans.alias("s")
     same = F.col("d.text_id") == F.col("s.text_id")
     if keep_first:

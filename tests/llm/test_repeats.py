@@ -43,6 +43,17 @@ def test_removed_bytes_match_all_windows(spark, monkeypatch):
         assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == want
 
 
+def test_stretches_and_joins_without_broadcast_change_nothing(spark, monkeypatch):
+    texts = case()
+    monkeypatch.setattr(R, "_PLACE_BITS", 10)  # texts longer than a place has bits
+    monkeypatch.setattr(R, "BROADCAST_BYTES", -1)
+    rows = sorted(R.without_repeats(common.frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts)
+    grams = np.random.default_rng(3).integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
+    want = [p + int(np.argmin(grams[p:p + R.LEFT + 1] >> np.uint64(10))) for p in range(len(grams) - R.LEFT)]
+    assert R.smallest_places(grams).tolist() == want
+
+
 def test_one_copy_stays(spark, monkeypatch):
     """With keep_first every repeated window still stands once in what is left, or overlaps a removed copy."""
     rng = random.Random(2)
