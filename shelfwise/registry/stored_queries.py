@@ -31,7 +31,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir, chain.input_files(spark, sf_dir))
     if key not in _STORED:
         stage = written(inputs.staging(spark, sf_dir), "staging")
-        buckets = bucketed.buckets_for(bucketed.stored_bytes(stage))
+        buckets = bucketed.buckets_for(bucketed.row_bytes(stage))
         places = new_path(spark, "fact"), new_path(spark, "profiles")
         bucketed.write(warehouse.fact(stage), places[0], SERIES_KEY, ["dt"], buckets)
         fact = bucketed.read(spark, places[0])

@@ -85,3 +85,20 @@ def test_buckets_follow_the_bytes(spark):
     assert [bucketed.buckets_for(n, 100) for n in (0, 1, 100, 101, 200, 201, 900)] == [1, 1, 1, 2, 2, 4, 16]
     with pytest.raises(ValueError):
         bucketed.write(table(spark, 1), storage.new_path(spark, "bucketed"), SERIES_KEY, buckets=0)
+
+
+def test_buckets_follow_the_rows_not_their_compressed_files(spark):
+    """Few distinct values are a small file, but the task of a bucket reads and sorts whole rows."""
+    rows = storage.written(spark.range(200_000).select(
+        (F.col("id") % 4).alias("store_id"), F.lit(1).cast("bigint").alias("product_id"), F.lit(0.0).alias("x")), "flat")
+    assert bucketed.row_bytes(rows) == 200_000 * 24 > 8 * bucketed.stored_bytes(rows)
+    assert bucketed.row_bytes(rows.limit(0)) == 0
+
+
+def test_the_stored_layer_takes_its_buckets_from_its_rows(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(stored_queries, "_STORED", {})
+    monkeypatch.setattr(bucketed, "buckets_for", lambda n, *a: asked.append(n) or 4)
+    st = stored_queries.stored(spark, sf_dir)
+    assert asked == [st.fact.count() * storage.written(stored_queries.inputs.staging(spark, sf_dir), "staging")._jdf.schema().defaultSize()]
+    assert st.fact.rdd.getNumPartitions() <= 4 and exchanges(st.fact.groupBy(*SERIES_KEY).count()) == []
