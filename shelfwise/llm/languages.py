@@ -7,8 +7,8 @@ network is trained in numpy, by backpropagation through time with Adam, on
 windows of a bounded sample: at most about SAMPLE windows for each language,
 drawn by hash from the rows the caller allows, at least one of every language.
 The sample is read PASSES times, in STEPS steps at the least, and a text is in
-none of the languages if its best label has less than half of the probability
-that any window of the sample has for its best.
+none of the languages if its best label has less probability than that of all
+whole texts the sample was drawn from (less SLACK, for rounding).
 Prediction sees the text only.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every
@@ -34,6 +34,7 @@ SAMPLE = 500
 STEPS = 150
 BATCH = 200
 PASSES = 15
+SLACK = 0.01
 UNKNOWN = "und"
 _f = np.float32
 
@@ -177,13 +178,13 @@ def pooled(network: Network, column: pa.Array) -> np.ndarray:
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def _sampled(labelled: DataFrame, per_language: int) -> list:
-    """Hash-drawn windows (text, lang), about ``per_language`` of each language."""
+def _sampled(labelled: DataFrame, per_language: int) -> tuple[list, DataFrame | None]:
+    """Hash-drawn windows (text, lang), about ``per_language`` of each language, and the rows they come from."""
     h = F.xxhash64("doc_id", "text", F.lit(11))
     rank = F.pmod(h, F.lit(1 << 30))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least")).collect()
     if not counts:
-        return []
+        return [], None
     spark = labelled.sparkSession
     shares = spark.createDataFrame(
         [(r["lang"], max(per_language / r["n"] * (1 << 30), r["least"] + 1.0)) for r in counts], "lang string, below double")
@@ -191,13 +192,16 @@ def _sampled(labelled: DataFrame, per_language: int) -> list:
     drawn = labelled.join(F.broadcast(shares), "lang").filter(rank < F.col("below"))
     window = F.expr(f"substring(text, _at + 1, {SEGMENT})")
     picked = drawn.withColumn("_at", at).select(window.alias("text"), "lang", h.alias("h"))
-    return picked.distinct().orderBy("h", "text", "lang").collect()  # a repeated row teaches once
+    return picked.distinct().orderBy("h", "text", "lang").collect(), drawn  # a repeated row teaches once
 
 
-def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE) -> Network | None:
-    """A network learned from the rows where ``learn`` holds; None if there are none."""
+def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE, judge: bool = True) -> Network | None:
+    """A network learned from the rows where ``learn`` holds; None if there are none.
+
+    Without ``judge`` its ``least`` stays 0, which spares a pass where nothing is to be dropped.
+    """
     labelled = documents.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    rows = _sampled(labelled, per_language)
+    rows, drawn = _sampled(labelled, per_language)
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -206,8 +210,10 @@ def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE) -> Netw
     bytes_, keep, doc = segments(data, offsets)
     label = np.array([languages.index(r["lang"]) for r in rows])[doc]
     network.train(bytes_, keep, label)
-    # Half of what the least certain window of the sample has.
-    network.least = 0.5 * float(pooled(network, pa.array([r["text"] for r in rows], pa.string())).max(axis=1).min())
+    if judge:
+        # Never below chance, as a part of it would be when there are few languages.
+        least = predict(drawn.select("text"), network).filter(F.col("lang_pred") != UNKNOWN).agg(F.min("score")).first()[0]
+        network.least = (1 - SLACK) * (least or 0.0)
     return network
 
 

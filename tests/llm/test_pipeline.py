@@ -110,3 +110,19 @@ def test_every_stage_matches_brute_force_on_its_input(spark, tmp_path):
     assert name == "sharding" and plain(out) == plain(rows)
     test_sharding_and_mixing.check_shards(
         [(r.doc_id, 16 + len((r.text or "").encode()), r.shard, r.slot) for r in out], corpus_pipeline.SHARDS)
+
+
+def test_texts_in_no_language_go(spark):
+    """The threshold was below chance when languages are few, so that no text with a letter could fall below it."""
+    import random
+
+    from shelfwise.llm import languages
+
+    rng = random.Random(6)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, words("abcdef" if i % 2 else "uvwxyz", 60), "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [(-1 - i, words("abcdef", 30) + " " + words("uvwxyz", 30), None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = languages.fit(docs, F.lit(True))
+    assert net.least > 1 / len(net.languages)
+    assert sorted(r.doc_id for r in languages.accepted(docs, net).select("doc_id").collect()) == list(range(60))
