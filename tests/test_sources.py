@@ -82,3 +82,23 @@ def test_discard_removes_only_this_application(spark, tmp_path, monkeypatch):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_hours_move_as_narrow_rows(spark, sf_dir):
+    """Arrays of 24 were shuffled and sorted, and spilled; every one is now made in the row that leaves."""
+    plan = panel.source_rows(spark, sf_dir, hourly=True)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ObjectHashAggregate"):]
+    assert "CASE WHEN (hour" not in below and "hours_sale" not in below
+
+
+def test_hours_of_odd_lines(spark, tmp_path):
+    """An hour is null only where no other line of the cell says 0; lines without an hour count for the day alone."""
+    lines = [(24, 40, 5, None, 0.1), (24, 41, 5, 16.0, 0.1), (25, 41, 5, None, 0.3), (49, 41, 5, 32.0, None), (None, 41, 5, 8.0, 0.1), (26, 42, 5, 4.0, 0.1)]
+    path = str(tmp_path)
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double").withColumn(
+        "l_shipdate", F.lit("1995-01-01").cast("timestamp")).write.parquet(f"{path}/lineitem.parquet")
+    rows = panel.source_rows(spark, path, hourly=True)
+    got = {r["product_id"]: (r["sale_amount"], r["hours_sale"]) for r in rows.filter("dt = '2024-03-28'").collect()}
+    zero = [0.0] * 24
+    assert got == {0: (None, [None] + zero[1:]), 1: (3.5, [1.0, 2.0] + zero[2:]), 2: (0.25, [0.0, 0.0, 0.25] + zero[3:])}
+    assert rows.count() == 3 * panel.DAYS and rows.filter("dt > '2024-03-28'").select("hours_sale").distinct().first()[0] == zero
