@@ -154,7 +154,7 @@ def _raw_matches_source(s, d):
     for path in files.values():
         part = s.read.schema(schemas.SOURCE_RETAIL_DAILY).parquet(path)
         source = part if source is None else source.unionByName(part)
-    diff = compare.bag_difference(t.read_raw(s, raw_path), source, keep)
+    diff = compare.wide_bag_difference(t.read_raw(s, raw_path), source, keep)
     return diff.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("different_rows"))
 
 

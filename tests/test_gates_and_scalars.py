@@ -103,3 +103,14 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     assert compare.registry_changes(one, two).first()["status"] == "unchanged"
     assert compare.registry_changes(one, other).first()["status"] == "changed"
     assert compare.registry_changes(one.filter("false"), other).first()["status"] == "new"
+
+
+def test_wide_rows_are_compared_by_hash_first(spark):
+    a = spark.createDataFrame([(1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, None), (3, [-0.0]), (None, [None])], "k int, v array<double>")
+    b = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [0.0]), (None, [None]), (4, [])], "k int, v array<double>")
+    for left, right in ((a, b), (b, a), (a, a)):
+        want = compare.bag_difference(left, right, ["k", "v"])
+        got = compare.wide_bag_difference(left, right, ["k", "v"])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    hashed = compare.wide_bag_difference(a, b, ["k", "v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in hashed and compare.wide_bag_difference(a, b, ["k", "v"]).count() == 2
