@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import row_digest
+from shelfwise.sources.storage import written
 
 
 def bag_difference(a: DataFrame, b: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -40,6 +41,7 @@ def wide_bag_difference(a: DataFrame, b: DataFrame, keep: Sequence[str]) -> Data
     seeds = {f"_hash{i}": F.xxhash64(F.lit(i), *keep) for i in range(2)}
     hashed = _signed(a, b, keep).select(*[h.alias(n) for n, h in seeds.items()], "_sign")
     odd = hashed.groupBy(*seeds).agg(F.sum("_sign").alias("_net")).filter("_net <> 0").select(*seeds)
+    odd = written(odd, "odd_hashes")  # with its real size known, mostly none, the wide rows need not move to meet it
     left, right = (side.select(*keep).withColumns(seeds).join(odd, list(seeds), "left_semi") for side in (a, b))
     return bag_difference(left, right, keep)
 
