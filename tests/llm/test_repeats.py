@@ -104,3 +104,17 @@ def test_common_prefixes_decide_without_hashes(monkeypatch):
     assert 0 < later.sum() < any_copy.sum() < any_copy.size
     assert (R.repeated_windows(pieces, rank, False) == any_copy).all()
     assert (R.repeated_windows(pieces, rank, True) == later).all()
+
+
+def test_ranges_are_split_only_while_many_share_them(spark, monkeypatch):
+    """Large groups were split down to single windows, however few different ranges were left in them."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = letters(800), [letters(150) for _ in range(3)]
+    texts = [passage + tails[i % 3] + letters(300) for i in range(12)]
+    turns, nodes = [], R._node_batches
+    monkeypatch.setattr(R, "_node_batches", lambda width: turns.append(width) or nodes(width))
+    monkeypatch.setattr(R, "GROUP", 8)
+    rows = sorted(R.without_repeats(common.frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts)
+    assert turns and min(turns) > 40
