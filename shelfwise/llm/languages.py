@@ -9,6 +9,10 @@ drawn by hash from the rows the caller allows, at least one of every language.
 The sample is read PASSES times, in STEPS steps at the least, and a text is in
 none of the languages if its best label has less probability than that of all
 whole texts the sample was drawn from (less SLACK, for rounding).
+With ``whole`` the network then goes on learning from all bytes of all rows the
+caller allows: at each of SLICES steps the tasks add up the gradients over the
+rows of one slice, dealt by hash, and the driver moves the parameters by the
+mean. All languages count alike, whatever their bytes, as in the sample.
 Prediction sees the text only.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +39,32 @@ SAMPLE = 500
 STEPS = 150
 BATCH = 200
 PASSES = 15
+RATE = 0.02
+SLICES = 8
+LEARN_ROWS = 512
+PIECES = 8
 SLACK = 0.01
 UNKNOWN = "und"
 _f = np.float32
 
 
+class _Adam:
+    """Moving means of gradients and their squares."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.steps = 0
+
+    def move(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for k in p:
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.s[k] = 0.99 * self.s[k] + 0.01 * g[k] ** 2
+            move = self.m[k] / (1 - 0.9 ** self.steps) / (np.sqrt(self.s[k] / (1 - 0.99 ** self.steps)) + 1e-7)
+            p[k] -= (rate * move).astype(_f)
+
+
 class Network:
     """Parameters: input tables (2, 256, 3H), recurrent (2, H, 3H), output (2, H, L), bias (L)."""
 
@@ -133,23 +159,98 @@ class Network:
                 g["x"][d, :, k] = np.bincount(seen, own[:, k], 256)
         return g
 
-    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, steps: int | None = None, rate: float = 0.02) -> None:
+    def gradient_sums(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """As ``gradients``, but sums, a row's bytes counting ``weight``; rows lie last in memory, which halves the time."""
+        h, (steps, rows), p = HIDDEN, data.shape, self.p
+        whole = bool(keep.all())
+        table = [np.ascontiguousarray(p["x"][d].T) for d in (0, 1)]
+        into = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
+        states = np.zeros((steps + 1, 2, h, rows), dtype=_f)  # direction 1 in its own order
+        gates, news, recs = (np.empty((steps, 2, k * h, rows), dtype=_f) for k in (2, 1, 1))
+        x = np.empty((2, 3 * h, rows), dtype=_f)
+        rec = np.empty_like(x)
+        live = lambda t: np.stack([keep[t], keep[steps - 1 - t]])[:, None, :]
+        for t in range(steps):
+            for d, at in ((0, t), (1, steps - 1 - t)):
+                np.take(table[d], data[at], axis=1, out=x[d], mode="clip")
+            state, gate, new, after = states[t], gates[t], news[t], states[t + 1]
+            np.matmul(into, state, out=rec)
+            np.add(x[:, :2 * h], rec[:, :2 * h], out=gate)
+            gate *= _f(0.5)
+            np.tanh(gate, out=gate)
+            gate *= _f(0.5)
+            gate += _f(0.5)
+            recs[t] = rec[:, 2 * h:]
+            np.multiply(gate[:, h:], recs[t], out=new)
+            new += x[:, 2 * h:]
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=after)
+            after *= gate[:, :h]
+            after += new
+            if not whole:
+                np.copyto(after, state, where=~live(t))
+        out = (states[1:, 0], states[:0:-1, 1])  # by place in the text
+        err = np.matmul(p["o"][0].T, out[0])
+        err += np.matmul(p["o"][1].T, out[1])
+        err += p["b"][:, None]
+        err -= err.max(axis=1, keepdims=True)
+        np.exp(err, out=err)
+        err /= err.sum(axis=1, keepdims=True)
+        err[:, label, np.arange(rows)] -= 1
+        err *= (keep * weight).astype(_f)[:, None, :]
+        g = {
+            "o": np.stack([np.matmul(out[d], err.transpose(0, 2, 1)).sum(axis=0) for d in (0, 1)]),
+            "b": err.sum(axis=(0, 2)), "u": np.zeros_like(p["u"]), "x": np.empty_like(p["x"]),
+        }
+        from_out = [np.matmul(p["o"][d], err) for d in (0, 1)]
+        back = np.zeros((2, h, rows), dtype=_f)
+        d_rec = np.empty((2, 3 * h, rows), dtype=_f)
+        d_z, d_r = d_rec[:, :h], d_rec[:, h:2 * h]
+        d_new, by_z = np.empty_like(back), np.empty_like(back)
+        for t in range(steps - 1, -1, -1):
+            before, z, r, new = states[t], gates[t][:, :h], gates[t][:, h:], news[t]
+            for d, at in ((0, t), (1, steps - 1 - t)):
+                back[d] += from_out[d][at]
+            if not whole:
+                passed, back = np.where(live(t), 0, back), np.where(live(t), back, 0)
+            np.multiply(new, new, out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            np.subtract(1, z, out=by_z)
+            d_new *= by_z
+            d_new *= back
+            by_z *= z
+            by_z *= back
+            np.subtract(before, new, out=d_z)
+            d_z *= by_z
+            np.subtract(1, r, out=d_r)
+            d_r *= r
+            d_r *= recs[t]
+            d_r *= d_new
+            np.multiply(d_new, r, out=d_rec[:, 2 * h:])
+            g["u"] += np.matmul(before, d_rec.transpose(0, 2, 1))
+            back *= z
+            back += np.matmul(p["u"], d_rec)
+            if not whole:
+                back += passed
+            gates[t], news[t] = d_rec[:, :2 * h], d_new  # in the place of what is no longer needed
+        for d, seen in ((0, data), (1, data[::-1])):
+            seen = seen.reshape(-1).astype(np.intp)
+            for k in range(3 * h):
+                own = gates[:, d, k] if k < 2 * h else news[:, d, k - 2 * h]
+                g["x"][d, :, k] = np.bincount(seen, own.reshape(-1), 256)
+        return g
+
+    def train(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, steps: int | None = None, rate: float = RATE) -> _Adam:
         steps = max(STEPS, -(-PASSES * len(label) // BATCH)) if steps is None else steps
         rng = np.random.default_rng(2)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        adam = _Adam(self.p)
         order = np.zeros(0, dtype=np.int64)
         for step in range(1, steps + 1):
             if len(order) < min(BATCH, len(label)):
                 order = np.concatenate([order, rng.permutation(len(label))])
             pick, order = order[:BATCH], order[BATCH:]
-            g = self.gradients(data[:, pick], keep[:, pick], label[pick])
-            now = rate * (1 - 0.9 * step / steps)
-            for k in self.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                move = m[k] / (1 - 0.9 ** step) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-7)
-                self.p[k] -= (now * move).astype(_f)
+            adam.move(self.p, self.gradients(data[:, pick], keep[:, pick], label[pick]), rate * (1 - 0.9 * step / steps))
+        return adam
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,13 +279,14 @@ def pooled(network: Network, column: pa.Array) -> np.ndarray:
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def _sampled(labelled: DataFrame, per_language: int) -> tuple[list, DataFrame | None]:
-    """Hash-drawn windows (text, lang), about ``per_language`` of each language, and the rows they come from."""
+def _sampled(labelled: DataFrame, per_language: int) -> tuple[list, DataFrame | None, dict[str, tuple[int, int]]]:
+    """Hash-drawn windows (text, lang), about ``per_language`` of each language, the rows they come from, and all languages' rows and bytes."""
     h = F.xxhash64("doc_id", "text", F.lit(11))
     rank = F.pmod(h, F.lit(1 << 30))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least")).collect()
+    counts = labelled.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not counts:
-        return [], None
+        return [], None, {}
     spark = labelled.sparkSession
     shares = spark.createDataFrame(
         [(r["lang"], max(per_language / r["n"] * (1 << 30), r["least"] + 1.0)) for r in counts], "lang string, below double")
@@ -192,16 +294,84 @@ def _sampled(labelled: DataFrame, per_language: int) -> tuple[list, DataFrame |
     drawn = labelled.join(F.broadcast(shares), "lang").filter(rank < F.col("below"))
     window = F.expr(f"substring(text, _at + 1, {SEGMENT})")
     picked = drawn.withColumn("_at", at).select(window.alias("text"), "lang", h.alias("h"))
-    return picked.distinct().orderBy("h", "text", "lang").collect(), drawn  # a repeated row teaches once
+    rows = picked.distinct().orderBy("h", "text", "lang").collect()  # a repeated row teaches once
+    return rows, drawn, {r["lang"]: (r["n"], r["bytes"]) for r in counts}
+
+
+def _summed_gradients(network: Network, labelled: DataFrame, shares: dict[str, float]) -> tuple[dict[str, np.ndarray], float]:
+    """Gradients over all bytes of all rows, a byte of a language counting its share, and the sum of these shares."""
+    sizes = {k: v.size for k, v in network.p.items()}
+    weight = np.array([shares[x] for x in network.languages])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(sum(sizes.values()) + 1), []
+
+        def count(most: int) -> None:
+            """Full segments together, others together, up to ``most`` rows left over of each."""
+            parts = [np.concatenate(c, axis=-1) for c in zip(*held)] if held else []
+            held.clear()
+            if not parts:
+                return
+            full = parts[1].all(axis=0)
+            for own in (np.flatnonzero(full), np.flatnonzero(~full)):
+                for i in range(0, len(own), LEARN_ROWS):
+                    data, keep, label = (np.ascontiguousarray(c[..., own[i:i + LEARN_ROWS]]) for c in parts)
+                    if len(label) <= most and len(label) < LEARN_ROWS:
+                        held.append((data, keep, label))
+                        continue
+                    g = network.gradient_sums(data, keep, label, weight[label])
+                    total[:-1] += np.concatenate([g[k].reshape(-1) for k in sizes])
+                    total[-1] += (keep.sum(axis=0) * weight[label]).sum()
 
+        for b in words.blocks(batches):
+            label = np.array([network.languages.index(x) for x in b.column("lang").to_pylist()], dtype=np.int64)
+            data, keep, doc = segments(*words.text_bytes(b.column("text")))
+            held.append((data, keep, label[doc]))
+            count(LEARN_ROWS)
+        count(0)
+        if total[-1]:
+            parts = np.array_split(total, PIECES)
+            task = np.full(PIECES, TaskContext.get().partitionId(), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(task), pa.array(parts, pa.list_(pa.float64()))], ["piece", "task", "part"])
 
-def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE, judge: bool = True) -> Network | None:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r["piece"], r["task"], r["part"]) for b in batches for r in b.to_pylist())  # in one order, so that reruns agree
+        for piece in dict.fromkeys(p for p, _, _ in found):
+            part = np.sum([v for p, _, v in found if p == piece], axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([piece], pa.int32()), pa.array([part], pa.list_(pa.float64()))], ["piece", "part"])
+
+    each = labelled.select("text", "lang").mapInArrow(counted, "piece int, task int, part array<double>")
+    pieces = each.repartition(PIECES, "piece").mapInArrow(summed, "piece int, part array<double>").collect()  # the size of one network
+    if not pieces:
+        return {}, 0.0
+    total = np.concatenate([r["part"] for r in sorted(pieces, key=lambda r: r["piece"])])
+    ends = np.cumsum(list(sizes.values()))[:-1]
+    return {k: v.reshape(network.p[k].shape) for k, v in zip(sizes, np.split(total[:-1], ends))}, float(total[-1])
+
+
+def _learn_whole(network: Network, adam: _Adam, labelled: DataFrame, counts: dict[str, tuple[int, int]]) -> None:
+    """Every row teaches once more, with all its bytes, at the rate the training of the sample ended with."""
+    shares = {lang: 1 / bytes_ for lang, (_, bytes_) in counts.items()}
+    slices = max(1, min(SLICES, sum(n for n, _ in counts.values()) // BATCH))
+    of = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(slices))
+    for k in range(slices):
+        g, total = _summed_gradients(network, labelled.filter(of == k), shares)
+        if total:
+            adam.move(network.p, {name: (v / total).astype(_f) for name, v in g.items()}, 0.1 * RATE)
+
+
+def fit(
+    documents: DataFrame, learn: Column, per_language: int = SAMPLE, judge: bool = True, whole: bool = True
+) -> Network | None:
     """A network learned from the rows where ``learn`` holds; None if there are none.
 
-    Without ``judge`` its ``least`` stays 0, which spares a pass where nothing is to be dropped.
+    Without ``judge`` its ``least`` stays 0, which spares a pass where nothing is to be dropped; without ``whole``
+    it learns from the sample only.
     """
     labelled = documents.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    rows, drawn = _sampled(labelled, per_language)
+    rows, drawn, counts = _sampled(labelled, per_language)
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -209,7 +379,9 @@ def fit(documents: DataFrame, learn: Column, per_language: int = SAMPLE, judge:
     data, offsets = words.text_bytes(pa.array([r["text"] for r in rows], pa.string()))
     bytes_, keep, doc = segments(data, offsets)
     label = np.array([languages.index(r["lang"]) for r in rows])[doc]
-    network.train(bytes_, keep, label)
+    adam = network.train(bytes_, keep, label)
+    if whole:
+        _learn_whole(network, adam, labelled, counts)
     if judge:
         # Never below chance, as a part of it would be when there are few languages.
         least = predict(drawn.select("text"), network).filter(F.col("lang_pred") != UNKNOWN).agg(F.min("score")).first()[0]

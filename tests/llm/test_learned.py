@@ -221,3 +221,36 @@ def test_toxic_span_at_the_end_of_a_long_document_teaches(spark):
     rows = {r.doc_id: r for r in X.score(df, model).collect()}
     assert [rows[i].score >= 0.5 for i in range(30, 36)] == marks[30:]
     assert all(len(rows[i].spans) >= 4 for i in (30, 33))
+
+
+def test_language_gradients_of_rows_that_lie_last():
+    rng = np.random.default_rng(3)
+    net = I.Network(["a", "b", "c"])
+    data, label = rng.integers(97, 110, (40, 9)).astype(np.uint8), rng.integers(0, 3, 9)
+    for keep in (np.ones((40, 9), bool), np.arange(40)[:, None] < rng.integers(1, 41, 9)):
+        want = net.gradients(data, keep, label)
+        got = net.gradient_sums(data, keep, label, np.full(9, 1 / keep.sum()))
+        assert all(np.allclose(got[k], want[k], rtol=1e-3, atol=1e-6) for k in want)
+
+
+def test_all_bytes_of_all_labelled_rows_teach(spark):
+    """The network of the pipeline learned from a bounded sample of windows."""
+    rng = random.Random(8)
+    rows = [(i, common.prose(rng, rng.choice([1, 30, 400])), rng.choice("abb")) for i in range(70)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "no id here", "a"), (900, "unlabelled", None), (901, "", "a")], "doc_id long, text string, lang string")
+    labelled = docs.filter("lang IS NOT NULL AND length(text) > 0")
+    net, shares = I.Network(["a", "b"]), {"a": 2.0, "b": 0.5}
+    sums = [I._summed_gradients(net, labelled.repartition(n), shares) for n in (1, 5)]
+    taught = [*rows, rows[0], (None, "no id here", "a")]
+    data, keep, doc = I.segments(*I.words.text_bytes(pa.array([t for _, t, _ in taught])))
+    label = np.array([net.languages.index(x) for _, _, x in taught])[doc]
+    want = net.gradient_sums(data, keep, label, np.array([2.0, 0.5])[label])
+    for g, total in sums:
+        assert total == sum(len(t.encode()) * shares[x] for _, t, x in taught)
+        assert all(np.allclose(g[k], want[k], rtol=1e-3, atol=1e-2) for k in want)
+    assert I._summed_gradients(net, labelled.limit(0), shares) == ({}, 0.0)
+    # A row that gives no window to the sample teaches.
+    more = docs.unionByName(spark.createDataFrame([(5000 + i, common.prose(rng, 300), "b") for i in range(200)], docs.schema))
+    part, whole = (I.fit(more, F.lit(True), 2, whole=w) for w in (False, True))
+    again = I.fit(more, F.lit(True), 2)
+    assert all((again.p[k] == whole.p[k]).all() and (part.p[k] != whole.p[k]).any() for k in part.p)
