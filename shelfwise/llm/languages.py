@@ -40,7 +40,7 @@ STEPS = 150
 BATCH = 200
 PASSES = 15
 RATE = 0.02
-SLICES = 8
+SLICES = 4
 LEARN_ROWS = 512
 PIECES = 8
 SLACK = 0.01
@@ -159,43 +159,66 @@ class Network:
                 g["x"][d, :, k] = np.bincount(seen, own[:, k], 256)
         return g
 
-    def gradient_sums(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """As ``gradients``, but sums, a row's bytes counting ``weight``; rows lie last in memory, which halves the time."""
-        h, (steps, rows), p = HIDDEN, data.shape, self.p
+    def _forward(self, data: np.ndarray, keep: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """States (steps + 1, 2, H, rows), direction 1 in its own order; rows lie last in memory, so that numpy's loops are long."""
+        h, (steps, rows) = HIDDEN, data.shape
         whole = bool(keep.all())
-        table = [np.ascontiguousarray(p["x"][d].T) for d in (0, 1)]
-        into = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
-        states = np.zeros((steps + 1, 2, h, rows), dtype=_f)  # direction 1 in its own order
-        gates, news, recs = (np.empty((steps, 2, k * h, rows), dtype=_f) for k in (2, 1, 1))
+        table = [np.ascontiguousarray(self.p["x"][d].T) for d in (0, 1)]
+        into = np.ascontiguousarray(self.p["u"].transpose(0, 2, 1))
+        states = np.zeros((steps + 1, 2, h, rows), dtype=_f)
+        gates, news, recs = (np.empty((steps if tape is not None else 1, 2, k * h, rows), dtype=_f) for k in (2, 1, 1))
+        if tape is not None:
+            tape += [gates, news, recs]
         x = np.empty((2, 3 * h, rows), dtype=_f)
         rec = np.empty_like(x)
-        live = lambda t: np.stack([keep[t], keep[steps - 1 - t]])[:, None, :]
         for t in range(steps):
             for d, at in ((0, t), (1, steps - 1 - t)):
                 np.take(table[d], data[at], axis=1, out=x[d], mode="clip")
-            state, gate, new, after = states[t], gates[t], news[t], states[t + 1]
+            state, after, own = states[t], states[t + 1], t % len(gates)
+            gate, new = gates[own], news[own]
             np.matmul(into, state, out=rec)
             np.add(x[:, :2 * h], rec[:, :2 * h], out=gate)
             gate *= _f(0.5)
             np.tanh(gate, out=gate)
             gate *= _f(0.5)
             gate += _f(0.5)
-            recs[t] = rec[:, 2 * h:]
-            np.multiply(gate[:, h:], recs[t], out=new)
+            recs[own] = rec[:, 2 * h:]
+            np.multiply(gate[:, h:], recs[own], out=new)
             new += x[:, 2 * h:]
             np.tanh(new, out=new)
             np.subtract(state, new, out=after)
             after *= gate[:, :h]
             after += new
             if not whole:
-                np.copyto(after, state, where=~live(t))
+                np.copyto(after, state, where=~np.stack([keep[t], keep[steps - 1 - t]])[:, None, :])
+        return states
+
+    def _labels(self, states: np.ndarray) -> np.ndarray:
+        """Probabilities (steps, L, rows) of the states of ``_forward``."""
+        out = np.matmul(self.p["o"][0].T, states[1:, 0])
+        out += np.matmul(self.p["o"][1].T, states[:0:-1, 1])
+        out += self.p["b"][:, None]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        return out
+
+    def label_sums(self, data: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Probabilities (rows, L) summed over the kept bytes of each row."""
+        p = self._labels(self._forward(data, keep))
+        p *= keep[:, None, :]
+        return p.sum(axis=0).T
+
+    def gradient_sums(self, data: np.ndarray, keep: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """As ``gradients``, but sums, a row's bytes counting ``weight``."""
+        h, (steps, rows), p = HIDDEN, data.shape, self.p
+        whole = bool(keep.all())
+        tape: list[np.ndarray] = []
+        states = self._forward(data, keep, tape)
+        gates, news, recs = tape
+        live = lambda t: np.stack([keep[t], keep[steps - 1 - t]])[:, None, :]
         out = (states[1:, 0], states[:0:-1, 1])  # by place in the text
-        err = np.matmul(p["o"][0].T, out[0])
-        err += np.matmul(p["o"][1].T, out[1])
-        err += p["b"][:, None]
-        err -= err.max(axis=1, keepdims=True)
-        np.exp(err, out=err)
-        err /= err.sum(axis=1, keepdims=True)
+        err = self._labels(states)
         err[:, label, np.arange(rows)] -= 1
         err *= (keep * weight).astype(_f)[:, None, :]
         g = {
@@ -279,6 +302,18 @@ def pooled(network: Network, column: pa.Array) -> np.ndarray:
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def _pooled_whole(network: Network, column: pa.Array) -> np.ndarray:
+    """As ``pooled`` but for rounding, in three quarters of the time."""
+    data, offsets = words.text_bytes(column)
+    total = np.zeros((len(column), len(network.languages)))
+    bytes_, keep, doc = segments(data, offsets)
+    order = np.argsort(~keep.all(axis=0), kind="stable")  # full segments need no masks
+    for i in range(0, len(doc), LEARN_ROWS):
+        own = order[i:i + LEARN_ROWS]
+        np.add.at(total, doc[own], network.label_sums(np.ascontiguousarray(bytes_[:, own]), np.ascontiguousarray(keep[:, own])))
+    return total / np.maximum(np.diff(offsets), 1)[:, None]
+
+
 def _sampled(labelled: DataFrame, per_language: int) -> tuple[list, DataFrame | None, dict[str, tuple[int, int]]]:
     """Hash-drawn windows (text, lang), about ``per_language`` of each language, the rows they come from, and all languages' rows and bytes."""
     h = F.xxhash64("doc_id", "text", F.lit(11))
@@ -384,7 +419,7 @@ def fit(
         _learn_whole(network, adam, labelled, counts)
     if judge:
         # Never below chance, as a part of it would be when there are few languages.
-        least = predict(drawn.select("text"), network).filter(F.col("lang_pred") != UNKNOWN).agg(F.min("score")).first()[0]
+        least = predict(drawn.select("text"), network, _pooled_whole).filter(F.col("lang_pred") != UNKNOWN).agg(F.min("score")).first()[0]
         network.least = (1 - SLACK) * (least or 0.0)
     return network
 
@@ -393,13 +428,13 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def _predictor(network: Network | None):
+def _predictor(network: Network | None, pool=pooled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.blocks(batches):
             lettered = [_has_letter(t) for t in b.column("text").to_pylist()]
             lang, score = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
             if network is not None:
-                p = pooled(network, b.column("text"))
+                p = pool(network, b.column("text"))
                 for i, (k, x) in enumerate(zip(p.argmax(axis=1), p.max(axis=1))):
                     if lettered[i]:
                         lang[i], score[i] = network.languages[k], min(float(x), 1.0)
@@ -410,11 +445,11 @@ def _predictor(network: Network | None):
     return run
 
 
-def predict(documents: DataFrame, network: Network | None) -> DataFrame:
+def predict(documents: DataFrame, network: Network | None, pool=pooled) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score``."""
     rows = documents.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_predictor(network), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(network, pool), f"{schema}, lang_pred string, score double")
 
 
 def accepted(documents: DataFrame, network: Network | None) -> DataFrame:
@@ -424,6 +459,6 @@ def accepted(documents: DataFrame, network: Network | None) -> DataFrame:
     """
     network = Network(["any"]) if network is None else network
     kept = documents.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"})
-    found = predict(kept, network).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= network.least))
+    found = predict(kept, network, _pooled_whole).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= network.least))
     own = found.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
     return own.select(*documents.columns)

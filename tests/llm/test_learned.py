@@ -254,3 +254,12 @@ def test_all_bytes_of_all_labelled_rows_teach(spark):
     part, whole = (I.fit(more, F.lit(True), 2, whole=w) for w in (False, True))
     again = I.fit(more, F.lit(True), 2)
     assert all((again.p[k] == whole.p[k]).all() and (part.p[k] != whole.p[k]).any() for k in part.p)
+
+
+def test_prediction_of_rows_that_lie_last():
+    """What the pipeline predicts with agrees with op6's prediction."""
+    rng = random.Random(2)
+    net = I.Network(["a", "b", "c"])
+    for values in (["", "x", "é東" * 200, *(common.prose(rng, n) for n in (1, 40, 3000))], [], [None, ""]):
+        column = pa.array(values, pa.string())
+        assert np.allclose(I._pooled_whole(net, column), I.pooled(net, column), rtol=1e-5, atol=1e-6)
